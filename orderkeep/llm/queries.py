@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from orderkeep.llm.bpe import op1_bpe
+from orderkeep.llm.fingerprints import op2_fingerprints
+from orderkeep.llm.licenses import op10_licenses
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe}
+    return {"op1_bpe": op1_bpe, "op2_fingerprints": op2_fingerprints, "op10_licenses": op10_licenses}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -9,14 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 from orderkeep.llm.bpe import op1_bpe
 from orderkeep.llm.fingerprints import op2_fingerprints
 from orderkeep.llm.licenses import op10_licenses
+from orderkeep.llm.mixing import OP4_SQL, op4_mixing
 from orderkeep.llm.ngram_join import op6_ngram_join
 from orderkeep.llm.quality_model import op9_quality
 from orderkeep.llm.quality_rules import op8_rules
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op2_fingerprints": op2_fingerprints, "op6_ngram_join": op6_ngram_join, "op8_rules": op8_rules, "op9_quality": op9_quality, "op10_licenses": op10_licenses}
+    return {"op1_bpe": op1_bpe, "op2_fingerprints": op2_fingerprints, "op4_mixing": op4_mixing, "op6_ngram_join": op6_ngram_join, "op8_rules": op8_rules, "op9_quality": op9_quality, "op10_licenses": op10_licenses}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_mixing": OP4_SQL}

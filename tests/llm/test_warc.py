@@ -1,0 +1,57 @@
+import base64
+import hashlib
+import random
+
+import pytest
+
+from orderkeep.llm import warc as W
+
+
+def test_framing():
+    rng = random.Random(1)
+    for n in (0, 1, 4095, 4096, 4097, 50_000):
+        p = rng.randbytes(n)
+        assert W.dechunked(W.chunked(p)) == p
+        text = b"".join(r + b"\r\n\r\n" for r in W.records(3, 7, "http://x/é y", p, W.digest(p), None, 1000))
+        got = list(W.parse(text))
+        segments = [(int(f.get("warc-segment-number", 1)), int(f["warc-segment-total-length"]) if "warc-segment-total-length" in f else None, b) for f, b in got]
+        assert len(segments) == max(1, -(-len(b"".join(b for _, b in got)) // 1000))
+        if len(segments) > 1:
+            rng.shuffle(segments)
+            assert W.payload_of(W.reassemble(segments)) == p
+            with pytest.raises(ValueError):
+                W.reassemble(segments[1:])
+        else:
+            assert W.payload_of(segments[0][2]) == p
+
+
+def expected(rows, least=0):
+    best = {}
+    for page, _, html in rows:
+        if page is not None:
+            best[html or ""] = min(page, best.get(html or "", page))
+    out = []
+    for page, _, html in rows:
+        p = (html or "").encode()
+        r = best.get(html or "")
+        other = r is not None and r != page and len(p) >= least
+        out.append((str(page), len(p), base64.b32encode(hashlib.sha1(p).digest()).decode(), "revisit" if other else "response", str(r) if other else "None"))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("least", [0, 40])
+def test_round_trip(spark, tmp_path, least):
+    rng = random.Random(2)
+    rows = [(i, f"http://a/{i}", "\r\n\r\nWARC/1.1 é漢 " * rng.randint(0, 3000)) for i in range(60)]
+    rows += [(100, None, None), (101, "u", ""), (102, "u", rows[5][2]), (103, "u", "x" * 300_000), (104, "u", "x" * 300_000), (None, "u", "x" * 300_000), (None, None, "only"), (105, "u", "twice"), (105, "u", "twice")]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "page_id long, url string, html string, number int").repartition(4)
+    W.write(df, f"file://{tmp_path}/w", least)
+    got = W.resolve(W.read(spark, f"file://{tmp_path}/w")).collect()
+    assert sorted((str(r.page_id), r.payload_bytes, r.payload_digest, r.record_type, str(r.refers_to)) for r in got) == expected(rows, least)
+    back = sorted((str(r.page_id), bytes(r.payload)) for r in W.read(spark, f"file://{tmp_path}/w").filter("record_type = 'response'").collect())
+    assert all(dict((str(p), (h or "").encode()) for p, _, h in rows if p is not None).get(p, x) == x for p, x in back)
+
+
+def test_empty(spark, tmp_path):
+    W.write(spark.createDataFrame([], "page_id long, url string, html string"), f"file://{tmp_path}/w")
+    assert W.resolve(W.read(spark, f"file://{tmp_path}/w")).count() == 0

@@ -13,12 +13,13 @@ from orderkeep.llm.mixing import OP4_SQL, op4_mixing
 from orderkeep.llm.ngram_join import op6_ngram_join
 from orderkeep.llm.quality_model import op9_quality
 from orderkeep.llm.quality_rules import op8_rules
+from orderkeep.llm.sharding import op3_sharding
 from orderkeep.llm.token_files import op7_token_files
 from orderkeep.llm.warc import op5_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op2_fingerprints": op2_fingerprints, "op4_mixing": op4_mixing, "op5_warc": op5_warc, "op6_ngram_join": op6_ngram_join, "op7_token_files": op7_token_files, "op8_rules": op8_rules, "op9_quality": op9_quality, "op10_licenses": op10_licenses}
+    return {"op1_bpe": op1_bpe, "op2_fingerprints": op2_fingerprints, "op3_sharding": op3_sharding, "op4_mixing": op4_mixing, "op5_warc": op5_warc, "op6_ngram_join": op6_ngram_join, "op7_token_files": op7_token_files, "op8_rules": op8_rules, "op9_quality": op9_quality, "op10_licenses": op10_licenses}
 
 
 def oracle_sql() -> dict[str, str]:

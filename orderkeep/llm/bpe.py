@@ -155,7 +155,7 @@ def encode(df: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_c
         ids = [code(t) for t in texts(batch)]
         return pa.RecordBatch.from_arrays([batch.column("id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=["id", "n_tokens", "ids"])
 
-    return map_arrow(rows, run, f"id {rows.schema['id'].dataType.simpleString()}, n_tokens long, ids binary").withColumnRenamed("id", id_col)
+    return map_arrow(rows, run, T.StructType([rows.schema["id"], T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())])).withColumnRenamed("id", id_col)
 
 
 def decode(df: DataFrame, vocabulary: Vocabulary, ids_col: str = "ids", to: str = "decoded") -> DataFrame:
@@ -185,3 +185,12 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = Vocabulary(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
     coded = decode(encode(table(spark, sf_dir, "documents"), vocabulary), vocabulary)
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, lang, source, n_tokens, ids binary): the documents' ids, as little-endian unsigned 32-bit integers."""
+    import public_tokenizers
+
+    vocabulary = Vocabulary(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    whole = docs.select(F.struct("doc_id", "lang", "source").alias("row"), "text")
+    return encode(whole, vocabulary, id_col="row").select("row.doc_id", "row.lang", "row.source", "n_tokens", "ids")

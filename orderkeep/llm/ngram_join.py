@@ -42,7 +42,9 @@ FLUSH = 1 << 20
 #: A block's n-grams and vertices, and the columns of an incidence matrix.
 BLOCK_NGRAMS, BLOCK_ROWS, COLUMNS = 1 << 19, 1024, 2048
 
-_LOW = np.uint64((1 << 48) - 1)
+#: Up to so many ids are broadcast; more are joined by a shuffle.
+MAX_SMALL = 500_000
+
 _WIRE = "part int, kind int, ids array<long>, vs binary, ns binary, keys binary, dfs binary"
 _NAMES = [x.split()[0] for x in _WIRE.split(", ")]
 
@@ -279,6 +281,21 @@ def near_groups(df: DataFrame, words: int = 5, percent: int = 80, id_col: str =
     return out.withColumnRenamed("id", id_col)
 
 
+def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component the document of the smallest id. A document without id goes by its text; rows that repeat a
+    document's id and text are one."""
+    key = F.coalesce("doc_id", F.xxhash64(F.lit("no id"), "text"))
+    keyed = docs.withColumn("__key", key)
+    found = cut(near_groups(keyed, id_col="__key"))
+    lost = cut(found.filter("__key <> component_id").select("__key").distinct())
+    plain = found.groupBy("__key").count().filter("count > 1").limit(1).count() == 0
+    if not plain:  # only then rows must be told apart by their texts
+        kept = cut(found.filter("__key = component_id").select("__key").distinct())
+        keyed = keyed.join(kept, "__key", "left_semi").dropDuplicates(["__key", "text"])
+        return keyed.select(*docs.columns)
+    return keyed.join(F.broadcast(lost) if lost.count() <= MAX_SMALL else lost, "__key", "left_anti").select(*docs.columns)
+
+
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The near-duplicate components of all documents."""
     return near_groups(table(spark, sf_dir, "documents"))

@@ -39,7 +39,7 @@ from orderkeep.session import cut, shared_folder
 
 MAGIC = b"OKTOKEN1"
 NULL_ID = -(2**63)
-MEMO_ENTRIES = 200_000
+MEMO_ENTRIES = 500_000
 MEMO_PIECE_CHARS = 64
 #: Ids that a reader hands on at once.
 READ_IDS = 1 << 20

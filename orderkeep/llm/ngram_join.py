@@ -274,10 +274,13 @@ def near_groups(df: DataFrame, words: int = 5, percent: int = 80, id_col: str =
     finally:
         prepare(spark)
     roots = components(links).withColumnRenamed("root", "g")
+    # one row for each set, then for each component; checkpointed, so that each join below has plain rows on both sides
+    # and Spark can split the rows of a large group
+    least = cut(members.filter("n > 0").groupBy("v").agg(F.min("id").alias("least")).join(roots, "v", "left").withColumn("g", F.coalesce("g", "v")))
+    groups = cut(least.groupBy("g").agg(F.min("least").alias("component_id")))
+    labels = cut(least.join(groups, "g").select("v", "component_id"))
     # sets of no n-gram stay alone
-    grouped = members.join(roots, "v", "left").withColumn("g", F.coalesce("g", "v"))
-    least = grouped.filter("n > 0").groupBy("g").agg(F.min("id").alias("component_id"))
-    out = grouped.join(least, "g", "left").select("id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
+    out = members.join(labels, "v", "left").select("id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
     return out.withColumnRenamed("id", id_col)
 
 

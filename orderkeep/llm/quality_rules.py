@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orderkeep.llm.common import table
-from orderkeep.session import cut
+from orderkeep.session import cut, stored
 
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
@@ -188,7 +188,9 @@ def op8_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that are kept."""
-    vectors = with_vector(with_counts(docs))
-    estimates = fit(cut(vectors.select("base_failed", "__lang", "__group", "__wt", *X)))
-    return judge(vectors, estimates).filter("kept").select(*docs.columns)
+    """The documents that are kept.
+
+    Documents and their statistics are written once and read again: a filter on the verdict would otherwise be pushed
+    down to the texts, and its expressions, put into each other, take far more than one pass."""
+    vectors = stored(with_vector(with_counts(docs.select(F.struct(*docs.columns).alias("row"), "text", "lang", "source"))).drop("text", "lang", "source"))
+    return judge(vectors, fit(vectors)).filter("kept").select("row.*")

@@ -40,7 +40,7 @@ MIN_FRAGMENTS = 64
 #: N-gram hashes that a map task holds before it sends them on.
 FLUSH = 1 << 20
 #: A block's n-grams and vertices, and the columns of an incidence matrix.
-BLOCK_NGRAMS, BLOCK_ROWS, COLUMNS = 1 << 19, 1024, 2048
+BLOCK_NGRAMS, BLOCK_ROWS, COLUMNS = 1 << 19, 256, 2048
 
 #: Up to so many ids are broadcast; more are joined by a shuffle.
 MAX_SMALL = 500_000
@@ -262,9 +262,10 @@ def near_groups(df: DataFrame, words: int = 5, percent: int = 80, id_col: str =
     posted = vertices.select("v", F.explode("prefix").alias("key"))
     first = posted.groupBy("key").agg(F.min("v").alias("m"), F.count("*").alias("times")).filter("times > 1").select("key", "m")
     cells = cut(components(posted.join(first, "key").filter("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b"))))
-    held = vertices.select("v", "n", "shared").join(cells, "v")
+    held = cut(vertices.select("v", "n", "shared").join(cells, "v"))
     sizes = held.groupBy("root").agg(F.greatest(F.ceil(F.sum(F.octet_length("shared")) / (8 * BLOCK_NGRAMS)), F.ceil(F.count("*") / BLOCK_ROWS)).cast("int").alias("blocks"))
-    blocks = held.join(sizes, "root").withColumn("own", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int"))
+    large = cut(sizes.filter("blocks > 1"))  # cells of several blocks
+    blocks = held.join(F.broadcast(large) if large.count() <= MAX_SMALL else large, "root", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int"))
     # each two blocks of a cell meet; the only block of a cell meets itself
     other = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: x != F.col("own")))
     met = blocks.withColumn("other", F.explode(other)).groupBy("root", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y")).agg(F.collect_list(F.struct("v", "n", "shared")).alias("rows"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 
@@ -35,6 +36,27 @@ def held(key: Any, make: Callable[[], Any]) -> Any:
     return _HELD[key]
 
 
+def trim() -> None:
+    """Give memory that nothing uses back to the system; a worker waits for its next task with what it holds."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run for tasks that need memory: what other operators hold in this worker goes first, and unused memory goes after."""
+
+    def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _HELD.clear()
+        trim()
+        yield from run(batches)
+        trim()
+
+    return alone
+
+
 def map_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch] | pa.RecordBatch], schema: str) -> DataFrame:
     """mapInArrow with a function of one batch that returns one batch or several."""
 
@@ -45,6 +67,7 @@ def map_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], Iterable[pa.RecordBat
                 yield out
             else:
                 yield from out
+        trim()
 
     return df.mapInArrow(run, schema)
 

@@ -29,16 +29,16 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderkeep.llm.common import prepare, table, texts
+from orderkeep.llm.common import lean, prepare, table, texts
 from orderkeep.llm.components import components
 from orderkeep.llm.textkernel import shingles
 from orderkeep.session import cut
 
 #: Bytes of text for each fragment of the n-gram universe; bounds a task's memory.
-FRAGMENT_TEXT = 16 << 20
+FRAGMENT_TEXT = 8 << 20
 MIN_FRAGMENTS = 64
 #: N-gram hashes that a map task holds before it sends them on.
-FLUSH = 1 << 20
+FLUSH = 1 << 19
 #: A block's n-grams and vertices, and the columns of an incidence matrix.
 BLOCK_NGRAMS, BLOCK_ROWS, COLUMNS = 1 << 19, 256, 2048
 
@@ -124,14 +124,22 @@ def _count(parts: int):
         for fragment, rows in found.items():
             v = np.concatenate([np.frombuffer(r[0], np.int64) for r in rows])
             n = np.concatenate([np.frombuffer(r[1], "<i4") for r in rows])
-            h = np.concatenate([_eight(r[2]) for r in rows])
-            own = np.repeat(np.arange(len(v)), n)
+            h = _eight(b"".join(r[2] for r in rows))
+            rows.clear()
+            own = np.repeat(np.arange(len(v), dtype=np.int32), n)
             first = np.zeros(len(v), bool)
             first[np.unique(v, return_index=True)[1]] = True  # another task may have sent the same set
-            own, h = own[first[own]], h[first[own]]
-            _, back, times = np.unique(h, return_inverse=True, return_counts=True)
-            df = times[back]
-            own, h, df = own[df > 1], h[df > 1] | np.uint64(fragment << 48), df[df > 1]
+            if not first.all():
+                own, h = own[first[own]], h[first[own]]
+            # runs of equal n-grams, of which those of one are left out
+            order = np.argsort(h)
+            h, own = h[order], own[order]
+            edge = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1], [True])))
+            times = np.diff(edge)
+            keep = np.repeat(times > 1, times)
+            own, h, df = own[keep], h[keep] | np.uint64(fragment << 48), np.repeat(times[times > 1], times[times > 1]).astype(np.int32)
+            order = np.argsort(own, kind="stable")
+            own, h, df = own[order], h[order], df[order]
             out = []
             for part, at, some, count in _by_part(v[own] % parts, own, len(v)):
                 out.append((part, 1, None, v[some].tobytes(), count.astype("<i4").tobytes(), h[at].astype("<u8").tobytes(), df[at].astype("<i4").tobytes()))
@@ -254,9 +262,9 @@ def near_groups(df: DataFrame, words: int = 5, percent: int = 80, id_col: str =
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(MIN_FRAGMENTS, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // FRAGMENT_TEXT))
     dealt = lambda d: d.repartitionById(parts, F.col("part"))
-    sets = dealt(rows.mapInArrow(_sets(parts, words), _WIRE))
-    counted = dealt(sets.mapInArrow(_count(parts), _WIRE))
-    whole = cut(counted.mapInArrow(_assemble(percent), _VERTEX))
+    sets = dealt(rows.mapInArrow(lean(_sets(parts, words)), _WIRE))
+    counted = dealt(sets.mapInArrow(lean(_count(parts)), _WIRE))
+    whole = cut(counted.mapInArrow(lean(_assemble(percent)), _VERTEX))
     members, vertices = whole.filter("prefix IS NULL").select("id", "v", "n"), whole.filter("prefix IS NOT NULL")
 
     posted = vertices.select("v", F.explode("prefix").alias("key"))
@@ -271,7 +279,7 @@ def near_groups(df: DataFrame, words: int = 5, percent: int = 80, id_col: str =
     met = blocks.withColumn("other", F.explode(other)).groupBy("root", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y")).agg(F.collect_list(F.struct("v", "n", "shared")).alias("rows"))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")  # of groups, each some MB at most
     try:
-        links = cut(met.select("rows").mapInArrow(_links(percent), "a long, b long"))
+        links = cut(met.select("rows").mapInArrow(lean(_links(percent)), "a long, b long"))
     finally:
         prepare(spark)
     roots = components(links).withColumnRenamed("root", "g")

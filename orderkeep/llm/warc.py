@@ -217,3 +217,14 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_folder(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
     write(table(spark, sf_dir, "pages"), folder)
     return resolve(read(spark, folder))
+
+
+OP5_SQL = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+r AS (SELECT page_id, h, sha1(h) AS x, min(page_id) OVER (PARTITION BY h) AS response FROM p),
+d AS (SELECT *, list_transform(range(8), lambda i: ('0x' || substr(x, 5 * i + 1, 5))::INTEGER) AS part FROM r)
+SELECT page_id, octet_length(encode(h))::BIGINT AS payload_bytes,
+  array_to_string(list_transform(part, lambda v: array_to_string(list_transform([15, 10, 5, 0], lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (v >> s) % 32 + 1, 1)), '')), '') AS payload_digest,
+  CASE WHEN page_id IS NOT DISTINCT FROM response OR response IS NULL THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id IS DISTINCT FROM response THEN response END AS refers_to
+FROM d"""

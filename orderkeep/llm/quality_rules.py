@@ -194,3 +194,45 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     down to the texts, and its expressions, put into each other, take far more than one pass."""
     vectors = stored(with_vector(with_counts(docs.select(F.struct(*docs.columns).alias("row"), "text", "lang", "source"))).drop("text", "lang", "source"))
     return judge(vectors, fit(vectors)).filter("kept").select("row.*")
+
+
+def sql() -> str:
+    """SQL with op8's rows: the same counts, vectors and steps written out, with the constants above."""
+    n, dims, low = "greatest(n_words, 1)", range(D), [(i, j) for i in range(D) for j in range(i + 1)]
+    per = lambda c, to: f"ln(1 + 10 * {c} / greatest({to}, 1))"
+    vector = (f"ln(greatest(word_chars, 1) / {n})", per("n_symbols", n), per("n_dup_lines", "n_lines"), per("n_repeat_words", n))
+    list_of = lambda form, over=dims: ", ".join(form(i) for i in over)
+    z = list_of(lambda i: f"((x{i} - m{i}){''.join(f' - l{i}{k} * z{k}' for k in range(i))}) / l{i}{i} AS z{i}")
+    d2 = "wt * (" + " + ".join(f"z{i} * z{i}" for i in dims) + ")"
+    steps = ""
+    for s in range(STEPS):
+        scale = CONSISTENT if s == STEPS - 1 else 1.0
+        lower = [list_of(lambda i: f"(c{i}{j}{''.join(f' - l{i}{k} * l{j}{k}' for k in range(j))}) / l{j}{j} AS l{i}{j}", range(j + 1, D)) for j in dims]  # noqa: B023
+        factor = ", ".join(f"sqrt(greatest(c{j}{j}{''.join(f' - l{j}{k} * l{j}{k}' for k in range(j))}, {SCALE[j] ** 2!r}::DOUBLE)) AS l{j}{j}" + (f", {lower[j]}" if lower[j] else "") for j in dims)
+        steps += f"""
+d{s} AS (SELECT r.*, {z}, floor(20 * ln({d2} + 1e-6)) AS bin FROM r JOIN e{s} USING (pool)),
+h{s} AS (SELECT pool, max(bin) AS last FROM (SELECT pool, bin, sum(c) OVER (PARTITION BY pool ORDER BY bin) - c AS before, sum(c) OVER (PARTITION BY pool) AS total
+  FROM (SELECT pool, bin, count(*) AS c FROM d{s} GROUP BY ALL)) WHERE before < {COVER} * total GROUP BY pool),
+g{s} AS (SELECT pool, count(*) AS n, sum(wt) AS w, {list_of(lambda i: f"sum(wt * x{i}) AS s{i}")}, {", ".join(f"sum(wt * x{i} * x{j}) AS p{i}{j}" for i, j in low)} FROM d{s} JOIN h{s} USING (pool) WHERE bin <= last GROUP BY pool),
+e{s + 1} AS (SELECT pool, {list_of(lambda i: f"s{i} / w AS m{i}")}, {", ".join(f"{scale!r}::DOUBLE * (p{i}{j} - w * m{i} * m{j}) / n + {(SCALE[i] ** 2 if i == j else 0.0)!r}::DOUBLE AS c{i}{j}" for i, j in low)}, {factor} FROM g{s}),"""
+    return rf"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, lang, source FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM t),
+v AS (SELECT r, unnest(range(0, len(ws) - 4)) AS pos, unnest(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) AS win FROM w WHERE len(ws) >= 5),
+twice AS (SELECT r, pos FROM (SELECT *, count(*) OVER (PARTITION BY r, win) AS c FROM v) WHERE c > 1),
+hit AS (SELECT r, sum(least(5, pos - before)) AS words FROM (SELECT r, pos, lag(pos, 1, -5) OVER (PARTITION BY r ORDER BY pos) AS before FROM twice) GROUP BY r),
+counts AS (SELECT w.doc_id, w.lang, w.source, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+  (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(words, 0)::BIGINT AS n_repeat_words, len(lines) AS n_lines FROM w LEFT JOIN hit USING (r)),
+vec AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed, {", ".join(f"round({x} * 4096) / 4096 AS x{i}" for i, x in enumerate(vector))},
+  round(64 * {n} / ({n} + {WEIGHT_WORDS})) / 64 + 0.015625::DOUBLE AS wt, coalesce('=' || lang, '-') AS lg, lg || chr(1) || coalesce('=' || source, '-') AS grp FROM counts),
+sizes AS (SELECT grp, CASE WHEN count(*) >= {MIN_ROWS} THEN grp ELSE '~' || lg END AS pool, count(*) AS n FROM vec WHERE NOT base_failed GROUP BY lg, grp),
+pools AS (SELECT grp, pool FROM sizes WHERE pool IN (SELECT pool FROM sizes GROUP BY pool HAVING sum(n) >= {MIN_ROWS})),
+r AS (SELECT vec.*, pool FROM vec JOIN pools USING (grp) WHERE NOT base_failed),
+mid AS (SELECT pool, {list_of(lambda i: f"quantile_disc(x{i}, 0.5) AS m{i}")} FROM r GROUP BY pool),
+spread AS (SELECT pool, {list_of(lambda i: f"quantile_disc(abs(x{i} - m{i}), 0.5) AS a{i}")} FROM r JOIN mid USING (pool) GROUP BY pool),
+e0 AS (SELECT mid.*, {", ".join(f"sqrt((1.4826::DOUBLE * a{i}) ** 2 + {SCALE[i] ** 2!r}::DOUBLE) AS l{i}{j}" if i == j else f"0.0::DOUBLE AS l{i}{j}" for i, j in low)} FROM mid JOIN spread USING (pool)),{steps}
+verdict AS (SELECT vec.*, {z}, {d2} AS d2 FROM vec LEFT JOIN pools USING (grp) LEFT JOIN e{STEPS} USING (pool))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(d2 <= {CUTOFF!r}::DOUBLE, TRUE) AS kept FROM verdict"""
+
+
+OP8_SQL = sql()

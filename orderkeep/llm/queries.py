@@ -12,7 +12,7 @@ from orderkeep.llm.licenses import op10_licenses
 from orderkeep.llm.mixing import OP4_SQL, op4_mixing
 from orderkeep.llm.ngram_join import OP6_SQL, op6_ngram_join
 from orderkeep.llm.quality_model import op9_quality
-from orderkeep.llm.quality_rules import op8_rules
+from orderkeep.llm.quality_rules import OP8_SQL, op8_rules
 from orderkeep.llm.sharding import op3_sharding
 from orderkeep.llm.token_files import op7_token_files
 from orderkeep.llm.warc import OP5_SQL, op5_warc
@@ -23,4 +23,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mixing": OP4_SQL, "op5_warc": OP5_SQL, "op6_ngram_join": OP6_SQL}
+    return {"op4_mixing": OP4_SQL, "op5_warc": OP5_SQL, "op6_ngram_join": OP6_SQL, "op8_rules": OP8_SQL}

@@ -21,6 +21,7 @@ def test_matches_tiktoken(ranks):
     cases = ["", " ", "a" * 3000, "ab" * 2000, "\n\n  \t x", "Größe éàü ñ 漢字仮名交じり文 🙂🙂", "don't we'll I'm", "<|endoftext|>", "1234567890" * 50]
     cases += ["".join(rng.choice("abcdeothnir é漢!1 \n") for _ in range(rng.randint(1, 400))) for _ in range(300)]
     cases += ["".join(rng.choice("etaoinshrd") for _ in range(5000))]
+    cases += [f"a{chr(c)}b {chr(c)}1" for c in rng.sample(range(0x110000), 5000) + list(range(0x3000)) if not 0xD800 <= c < 0xE000]
     for text in cases:
         ids = own.encode(text)
         assert list(memoryview(ids).cast("I")) == ref.encode_ordinary(text)

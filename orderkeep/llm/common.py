@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from orderkeep.session import ship
 
-#: Rows of an Arrow batch sent to a Python worker; long texts make batches of many more rows too large.
-BATCH_ROWS = 1000
+#: Rows and bytes of an Arrow batch sent to a Python worker; a longer text is a batch of its own.
+BATCH_ROWS, BATCH_BYTES = 1000, "8m"
 
 _HELD: dict[Any, Any] = {}
 
@@ -25,6 +25,7 @@ def prepare(spark: SparkSession) -> None:
     """Make workers able to import the package and keep their batches small."""
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 def held(key: Any, make: Callable[[], Any]) -> Any:

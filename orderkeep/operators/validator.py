@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from orderkeep.functions.keys import check_columns, key_value
-from orderkeep.sources.reader import FILE, ROW, scan
+from orderkeep.sources.reader import FILE, ROW, few, file_ids, scan
 from orderkeep.sources.tablelog import Snapshot, open_table
 
 #: Rows of a file that one window covers.
@@ -78,11 +78,19 @@ def report(stats: DataFrame) -> DataFrame:
     return marked.agg(F.count("*").alias("checked_files"), (F.count_if(F.col("inversions") > 0) + F.count_if("bad")).alias("boundary_violations"))
 
 
+def snapshot_stats(spark: SparkSession, snapshot: Snapshot, keys: Sequence[str], nulls_first: bool = True) -> DataFrame:
+    """file_stats() of a table's files, with their partition as `part`; a row's file is a number until the end."""
+    ids, files = file_ids(spark, snapshot)
+    rows = scan(spark, snapshot, keys).withColumn("__id", ids)
+    stats = file_stats(rows, key_value(keys, nulls_first), file="__id")
+    return stats.withColumnRenamed("file", "__id").join(few(files.select("__id", F.col("path").alias("file"), "part"), len(snapshot.files)), "__id").drop("__id")
+
+
 def validate_snapshot(spark: SparkSession, snapshot: Snapshot, keys: Sequence[str], nulls_first: bool = True) -> ValidationReport:
     if not keys or not snapshot.files:
         return ValidationReport()
     check_columns(keys, snapshot.schema)
-    stats = file_stats(scan(spark, snapshot, keys), key_value(keys, nulls_first)).persist()  # a row for each file
+    stats = snapshot_stats(spark, snapshot, keys, nulls_first).persist()  # a row for each file
     try:
         counts = report(stats).first()
         details = [r.detail for r in sampled(violations(stats)).orderBy("position").collect()] if counts["boundary_violations"] else []

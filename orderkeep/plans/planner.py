@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import logging
 from collections.abc import Sequence
 from dataclasses import dataclass, field
@@ -9,9 +10,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderkeep.functions.keys import check_columns, key_value
-from orderkeep.operators.validator import boundaries, file_stats
-from orderkeep.sources.reader import FILE, MAX_SMALL, plain_path, scan, spark_plain
+from orderkeep.functions.keys import check_columns
+from orderkeep.operators.validator import boundaries, snapshot_stats
 from orderkeep.sources.tablelog import DataFile, Snapshot
 
 log = logging.getLogger("orderkeep")
@@ -79,14 +79,12 @@ def plan(spark: SparkSession, snapshot: Snapshot, keys: Sequence[str], nulls_fir
     if not groups:
         return out
     try:
-        rows = scan(spark, snapshot, keys)
-        if snapshot.partition_columns:
-            names = spark.createDataFrame([(spark_plain(snapshot.path(f)), k) for k, g in groups.items() for f in g.files], "__at string, __group string")
-            rows = rows.withColumn("__at", plain_path(F.col(FILE))).join(F.broadcast(names) if len(snapshot.files) <= MAX_SMALL else names, "__at")
-        else:
-            rows = rows.withColumn("__group", F.lit(NO_PARTITION))
-        stats = file_stats(rows, key_value(keys, nulls_first), by=["__group"])
-        bad = {r["__group"]: r["rows"] for r in failing(stats, "__group").collect()}  # a row for each partition at most
+        stats = snapshot_stats(spark, snapshot, keys, nulls_first)
+        # a partition's files have the same text for it
+        names = {json.dumps(g.files[0].partition): k for k, g in groups.items()} if snapshot.partition_columns else None
+        if names is None:
+            stats = stats.withColumn("part", F.lit(NO_PARTITION))
+        bad = {names[r["part"]] if names else NO_PARTITION: r["rows"] for r in failing(stats, "part").collect()}  # a row for each partition at most
     except Exception as e:  # not proven to be in order
         log.warning("the order of %s could not be checked, all partitions count as unordered: %s", snapshot.uri, e)
         bad = dict.fromkeys(groups, 0)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import os
+import re
 from collections.abc import Sequence
 from functools import reduce
 
@@ -26,6 +29,26 @@ def plain_path(path: Column) -> Column:
     return F.regexp_replace(decoded, "^file:/+", "/")
 
 
+def file_ids(spark: SparkSession, snapshot: Snapshot) -> tuple[Column, DataFrame]:
+    """(the id of a row's file, from FILE; a table (__id, path, values array in the order of sorted partition columns, group)).
+
+    Ids are hashes of file names where these differ, else of whole paths, so that rows carry a number and not a path.
+    group: the partition as JSON."""
+    paths = [snapshot.path(f) for f in snapshot.files]
+    names = [os.path.basename(p) for p in paths]
+    plain = len(set(names)) == len(names) and all(re.fullmatch(r"[A-Za-z0-9._-]+", n) for n in names)
+    keys = names if plain else [spark_plain(p) for p in paths]
+    own = F.substring_index(F.col(FILE), "/", -1) if plain else plain_path(F.col(FILE))
+    rows = [(k, p, [v for _, v in f.partition], json.dumps(f.partition)) for k, p, f in zip(keys, paths, snapshot.files, strict=True)]
+    table = spark.createDataFrame(rows, "k string, path string, vs array<string>, part string")
+    return F.xxhash64(own), table.select(F.xxhash64("k").alias("__id"), "path", "vs", "part")
+
+
+def few(df: DataFrame, files: int) -> DataFrame:
+    """A table of a row for each file, to be broadcast while files are few."""
+    return F.broadcast(df) if files <= MAX_SMALL else df
+
+
 def scan(spark: SparkSession, snapshot: Snapshot, columns: Sequence[str] | None = None, places: bool = True) -> DataFrame:
     """The snapshot's rows: columns (all by default), and with places FILE and ROW. Only those columns are read."""
     wanted = list(snapshot.schema.fieldNames() if columns is None else columns)
@@ -40,12 +63,10 @@ def scan(spark: SparkSession, snapshot: Snapshot, columns: Sequence[str] | None
     place = [F.col("_metadata.file_path").alias(FILE), F.col("_metadata.row_index").alias(ROW)]
     if not partition:
         return rows.select(*own, *(place if places else []))
-    rows = rows.select(*own, *place).withColumn("__at", plain_path(F.col(FILE)))
-    values = spark.createDataFrame([(spark_plain(snapshot.path(f)), [v for _, v in sorted(f.partition)]) for f in snapshot.files], "__at string, vs array<string>")
+    ids, files = file_ids(spark, snapshot)
     names = sorted(snapshot.partition_columns)
     typed = [F.get("vs", F.lit(names.index(c))).cast(snapshot.schema[c].dataType).alias(c) for c in partition]
-    values = values.select("__at", *typed)
-    joined = rows.join(F.broadcast(values) if len(snapshot.files) <= MAX_SMALL else values, "__at")
+    joined = rows.select(*own, *place).withColumn("__id", ids).join(few(files.select("__id", *typed), len(snapshot.files)), "__id")
     return joined.select(*map(column, wanted), *([FILE, ROW] if places else []))
 
 

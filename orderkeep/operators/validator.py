@@ -19,7 +19,7 @@ from orderkeep.sources.reader import FILE, ROW, few, file_ids, scan
 from orderkeep.sources.tablelog import Snapshot, open_table
 
 #: Rows of a file that one window covers.
-CHUNK_ROWS = 1 << 20
+CHUNK_ROWS = 1 << 16
 #: A report shows so many violations; of more, one less and how many were left out.
 SAMPLE = 20
 

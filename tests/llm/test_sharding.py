@@ -47,6 +47,20 @@ def test_rounds_by_brute_force(spark):
         assert got[i] == max((n, (s + g) % 8, s) for s, n in votes[g].items())[2]
 
 
+@pytest.mark.parametrize("sizes", [(4, 4), (2, 9)])
+def test_all_documents_have_copies(spark, sizes):
+    """Without single documents to make room, fewer groups than shards are split."""
+    rng = random.Random(5)
+    rows = [(g, f"text {g}") for g in range(600) for _ in range(rng.randint(*sizes))]
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string").repartition(5)
+    got = S.shard(df, F.xxhash64("text"), buckets=64).collect()
+    count, groups = Counter(r.shard for r in got), defaultdict(set)
+    for r in got:
+        groups[r.text_crc32].add(r.shard)
+    assert len(got) == len(rows) and max(count.values()) - min(count.values()) <= 1
+    assert sum(len(s) > 1 for s in groups.values()) < 8
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert S.shard(df, F.xxhash64("text")).count() == 0

@@ -11,7 +11,9 @@ under a name of its own and only parts named by finished tasks enter the manifes
 folder is opened by pyarrow's file systems; on a local path files are memory-mapped, elsewhere read in ranges.
 
 A tokenizer with byte-level pre-tokenization and no normalizer encodes each distinct piece of text once per memo; any
-other encodes whole texts. Special tokens' strings in a text are ordinary text.
+other encodes whole texts, and so are texts encoded that hold the string of an added token, which the library finds
+first. Ids are those of the library's encode() with add_special_tokens=False, which only leaves out what a
+post-processor adds.
 
 Defined results: a null or empty text has the end id alone; a null id sorts first; rows of equal ids are ordered by
 their ids' bytes, so repeated rows are documents of their own. An empty table gives a data set without parts. Other
@@ -53,7 +55,7 @@ def byte_letters() -> dict[int, str]:
 
 
 class Tokens:
-    """A tokenizer whose encode() gives a text's ids, packed."""
+    """A tokenizer whose ids() gives a text's ids, packed."""
 
     def __init__(self, content: str, pattern: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -61,12 +63,13 @@ class Tokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(content)
-        self.tokenizer.encode_special_tokens = True
         self.type = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         told = json.loads(content)
         split = told.get("pre_tokenizer") or {}
         self.by_piece = told.get("normalizer") is None and split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space")
         self.find = regex.compile(pattern).findall
+        added = [regex.escape(t["content"]) for t in told.get("added_tokens") or () if t["content"]]
+        self.added = regex.compile("|".join(added)).search if added else lambda text: None
         self.pieces = _Pieces(self)
 
     def piece(self, text: str) -> bytes:
@@ -74,8 +77,16 @@ class Tokens:
         return np.array([t.id for t in self.tokenizer.model.tokenize(letters)], self.type).tobytes()
 
     def encode(self, text: str) -> bytes:
+        """The ids of a text without added tokens; by pieces, their strings are ordinary text."""
         if self.by_piece:
             return b"".join(map(self.pieces.__getitem__, self.find(text)))
+        return self.whole(text)
+
+    def ids(self, text: str) -> bytes:
+        """The ids that the library gives."""
+        return self.whole(text) if self.added(text) else self.encode(text)
+
+    def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.type).tobytes()
 
 
@@ -161,7 +172,7 @@ def write(df: DataFrame, folder: str, tokenizer_path: str, pattern: str, end_id:
     cuts = np.unique(np.array(bounds, np.int64))
 
     def encode(batch: pa.RecordBatch) -> pa.RecordBatch:
-        code = tokens().encode
+        code = tokens().ids
         part = np.searchsorted(cuts, batch.column("k").to_numpy(zero_copy_only=False), side="right")
         return pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), batch.column("k"), batch.column("id"), pa.array([code(t) + end for t in texts(batch)], pa.binary())], names=["part", "k", "id", "ids"])
 

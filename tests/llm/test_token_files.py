@@ -45,3 +45,14 @@ def test_round_trip(spark, tmp_path):
             start += len(ids)
     assert F.write(df.limit(0), f"file://{tmp_path}/none", PATH, P.PATTERN) == []
     assert F.read(spark, f"file://{tmp_path}/none").count() == 0
+
+
+def test_added_tokens_are_found_as_the_library_does(spark, tmp_path):
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n y", "<|endoftext", "no such string", "é<|endoftext|>" * 500]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        ref = Tokenizer.from_file(P.path(name))
+        F.write(df, f"file://{tmp_path}/{name}", P.path(name), P.PATTERN, parts=2)
+        got = {r.id: np.frombuffer(r.ids, "<u4").tolist() for r in F.read(spark, f"file://{tmp_path}/{name}").collect()}
+        assert got == {i: ref.encode(t, add_special_tokens=False).ids + [0] for i, t in enumerate(texts)}
+    assert got[1] != got[3]

@@ -295,16 +295,18 @@ def near_groups(df: DataFrame, words: int = 5, percent: int = 80, id_col: str =
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component the document of the smallest id. A document without id goes by its text; rows that repeat a
-    document's id and text are one."""
+    document's id and text are one. Of rows that share an id one stays for each component."""
     key = F.coalesce("doc_id", F.xxhash64(F.lit("no id"), "text"))
     keyed = docs.withColumn("__key", key)
+    if docs.groupBy("doc_id").count().filter("count > 1").limit(1).count():  # only then rows must be told apart by their texts
+        keyed = keyed.withColumn("__row", F.xxhash64("__key", "text"))
+        found = cut(near_groups(keyed, id_col="__row").select("__row", "component_id").distinct())
+        known = cut(keyed.select("__row", "__key").distinct())
+        least = found.join(known, "__row").groupBy("component_id").agg(F.min(F.struct("__key", "__row")).alias("least"))
+        kept = cut(least.select("least.__row"))
+        return keyed.join(kept, "__row", "left_semi").dropDuplicates(["__key", "text"]).select(*docs.columns)
     found = cut(near_groups(keyed, id_col="__key"))
     lost = cut(found.filter("__key <> component_id").select("__key").distinct())
-    plain = found.groupBy("__key").count().filter("count > 1").limit(1).count() == 0
-    if not plain:  # only then rows must be told apart by their texts
-        kept = cut(found.filter("__key = component_id").select("__key").distinct())
-        keyed = keyed.join(kept, "__key", "left_semi").dropDuplicates(["__key", "text"])
-        return keyed.select(*docs.columns)
     return keyed.join(F.broadcast(lost) if lost.count() <= MAX_SMALL else lost, "__key", "left_anti").select(*docs.columns)
 
 

@@ -81,3 +81,14 @@ def test_components(spark):
         x, y = find(a), find(b)
         par[max(x, y)] = min(x, y)
     assert all(got.get(x, x) == find(x) for x in par)
+
+
+def test_stage_with_repeated_ids(spark):
+    """One row of each component stays, that of the smallest id, though ids repeat on different texts."""
+    a, b, c = ("one two three four five six seven", "red green blue white black grey", "up down left right in out")
+    rows = [(3, a), (5, a), (5, b), (5, b), (6, b), (9, c), (None, c), (None, c), (7, ""), (7, None), (7, "")]
+    docs = spark.createDataFrame([(*r, "en") for r in rows], "doc_id long, text string, lang string").repartition(3)
+    got = N.stage(spark, docs, "").collect()
+    assert sorted((r.text or "-") for r in got) == sorted([a, b, c, "-", "-"])
+    assert {(r.doc_id, r.text) for r in got if r.text in (a, b)} == {(3, a), (5, b)}
+    assert sorted(r.doc_id for r in got if not r.text) == [7, 7]

@@ -12,7 +12,7 @@ def components(edges: DataFrame) -> DataFrame:
     """(v, root): for each end of an edge (a long, b long) the smallest vertex that it reaches.
 
     Each round shuffles edges only; a vertex's smallest neighbour is found by an aggregate with map-side partial results and
-    joined back, so that one vertex's many edges need not meet in a task. Loops are ignored; no edges give no rows."""
+    joined back; that table is checkpointed, so that Spark can split the rows of a vertex of many edges in the join. Loops are ignored; no edges give no rows."""
     e = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
     before = None
     while True:
@@ -22,7 +22,7 @@ def components(edges: DataFrame) -> DataFrame:
         before = state
         # large star: larger neighbours go to the smallest of the neighbourhood
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         e = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         # small star: smaller neighbours and the vertex itself go to the smallest
         least = e.groupBy("u").agg(F.min("v").alias("m"))

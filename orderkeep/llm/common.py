@@ -6,8 +6,10 @@ import ctypes
 from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from orderkeep.session import ship
 
@@ -76,3 +78,43 @@ def map_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], Iterable[pa.RecordBat
 def texts(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     """The column's texts; null is empty."""
     return [x or "" for x in batch.column(name).to_pylist()]
+
+
+#: The least key: it stands for a null id.
+NULL_ID = -(2**63)
+#: How finely bounds of ids are told (1 / ACCURACY of the rows); it matters for evenness only.
+ACCURACY = 1_000_000
+
+
+def parts_of(rows: DataFrame, part_bytes: int, text_col: str = "text") -> int:
+    """How many parts of about part_bytes of text (16 more for each row) rows make, and not fewer than shuffles have."""
+    size = rows.agg(F.sum(F.coalesce(F.octet_length(text_col), F.lit(0)) + 16)).first()[0] or 0
+    return max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // part_bytes))
+
+
+class Cuts:
+    """Cuts of a table into parts that ascend by (k, t): k an id, t a hash of the text, which cuts up an id of many rows.
+
+    The driver gets a bound for each part."""
+
+    def __init__(self, keys: DataFrame, parts: int):
+        """keys: has k (long)."""
+        bounds = (keys.agg(F.percentile_approx("k", [i / parts for i in range(1, parts)], min(20 * parts, ACCURACY))).first()[0] if parts > 1 else None) or []
+        at, times = np.unique(np.array(bounds, np.int64), return_counts=True)
+        # an id that is several bounds begins a part and is cut evenly by the hash
+        self.k = np.repeat(at, times)
+        self.t = np.concatenate([np.zeros(0, np.int64), *(np.array([NULL_ID + j * (1 << 64) // n for j in range(n)], object).astype(np.int64) for n in times.tolist())])
+        self.many = at[times > 1]
+
+    def __len__(self) -> int:
+        return len(self.k) + 1
+
+    def of(self, k: np.ndarray, t: np.ndarray) -> np.ndarray:
+        """The part of each row."""
+        out = np.searchsorted(self.k, k, side="right")
+        for x in self.many[np.isin(self.many, k)].tolist():
+            a, b = np.searchsorted(self.k, [x, x + 1 if x < 2**63 - 1 else x], side="left")
+            b = b if x < 2**63 - 1 else len(self.k)
+            own = k == x
+            out[own] = a + np.searchsorted(self.t[a:b], t[own], side="right")
+        return out

@@ -7,7 +7,11 @@ two fingerprints is the share p of equal bins, corrected for chance: (p - 2**-bi
 
 Defined results: a null text is empty; a text without words has the empty fingerprint, whose likeness is 1 to itself
 and 0 to any other; equal texts have equal fingerprints. Rows are handled one by one; an empty table gives an empty
-result. Neighbours are by (id, text), null ids first; rows that agree in both are neighbours of each other.
+result. Neighbours are by (id, hash of the text, text), null ids first; rows that agree in all are neighbours of each
+other. A very long text is sketched whole, in a batch of its own. Other columns are ignored, whatever their names.
+
+Rows are dealt into runs of ascending ids of about RUN_TEXT bytes each, one for each task; an id of many rows is cut up by
+the hash of the text. Only rows that agree in id and text stay together.
 """
 
 from __future__ import annotations
@@ -21,10 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderkeep.llm.common import map_arrow, prepare, table, texts
+from orderkeep.llm.common import NULL_ID, Cuts, map_arrow, parts_of, prepare, table, texts
 from orderkeep.llm.textkernel import shingles
 
-NULL_ID = -(2**63)
+#: Bytes of text of a run.
+RUN_TEXT = 16 << 20
 
 
 @dataclass(frozen=True)
@@ -87,46 +92,51 @@ def fingerprints(df: DataFrame, sketch: Sketch = Sketch(), id_col: str = "doc_id
 
 
 def in_runs(df: DataFrame, parts: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(run, halo, k, id, text): df dealt into runs of ascending id (k: the id, null as the least), each sorted by (k, text)
-    within its partition, and after each run, with halo set, the row that follows it; after the last run the first row.
-
-    Only the runs' bounds come to the driver (parts numbers); the texts are shuffled once."""
+    """(run, halo, k, t, id, text): df dealt into runs that ascend by (k, t) (k: the id, null as the least; t: a hash of the
+    text), a run in each partition, sorted, and after it, with halo set, the row that follows it; after the last run the
+    first row. Only the runs' bounds and first rows come to the driver (parts numbers); the texts are shuffled once."""
     prepare(df.sparkSession)
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    key = F.coalesce("id", F.lit(NULL_ID))
-    ids = rows.select(key.alias("k"))
-    bounds = ids.agg(F.percentile_approx("k", [i / parts for i in range(1, parts)] or [0.5], 20 * parts)).first()[0] or []
-    cuts = np.unique(np.array(bounds, np.int64))
-
-    def of(batch: pa.RecordBatch) -> np.ndarray:
-        return np.searchsorted(cuts, batch.column("k").to_numpy(zero_copy_only=False), side="right")
+    rows = rows.select(F.coalesce("id", F.lit(NULL_ID)).alias("k"), F.xxhash64("text").alias("t"), "id", "text")
+    cuts = Cuts(rows.select("k"), parts)
+    number = lambda batch, c: batch.column(c).to_numpy(zero_copy_only=False)
 
     def least(batch: pa.RecordBatch) -> pa.RecordBatch:
-        run, k = of(batch), batch.column("k").to_numpy(zero_copy_only=False)
-        seen = np.unique(run)
-        return pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int64)), pa.array([int(k[run == r].min()) for r in seen], pa.int64())], names=["run", "k"])
-
-    firsts = sorted(tuple(r) for r in map_arrow(ids, least, "run long, k long").groupBy("run").agg(F.min("k").alias("k")).collect())
-    #: The id with which a run begins to the run before it, in a ring.
-    before = {k: firsts[i - 1][0] for i, (_, k) in enumerate(firsts)}
+        k, t = number(batch, "k"), number(batch, "t")
+        order = np.lexsort((t, k))
+        run = cuts.of(k, t)[order]
+        first = order[np.unique(run, return_index=True)[1]]
+        return pa.RecordBatch.from_arrays([pa.array(np.unique(run).astype(np.int64)), pa.array(k[first]), pa.array(t[first])], names=["run", "k", "t"])
+
+    # the hash is needed only where an id is cut
+    keys = rows.select("k", "t" if len(cuts.many) else F.lit(0).cast("long").alias("t"))
+    firsts = sorted((r.run, r.first.k, r.first.t) for r in map_arrow(keys, least, "run long, k long, t long").groupBy("run").agg(F.min(F.struct("k", "t")).alias("first")).collect())
+    #: The key with which a run begins to the run before it, in a ring.
+    before = {(k, t) if len(cuts.many) else k: firsts[i - 1][0] for i, (_, k, t) in enumerate(firsts)}
+    names, by_hash = ["run", "halo", "k", "t", "id", "text"], bool(len(cuts.many))
 
     def deal(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        run, k = of(batch), batch.column("k")
-        names = ["run", "halo", "k", "id", "text"]
-        yield pa.RecordBatch.from_arrays([pa.array(run.astype(np.int64)), pa.array(np.zeros(len(run), bool)), k, batch.column("id"), batch.column("text")], names=names)
-        again = [i for i, x in enumerate(k.to_pylist()) if x in before]
+        k, t = number(batch, "k"), number(batch, "t")
+        columns = [batch.column(c) for c in ("k", "t", "id", "text")]
+        yield pa.RecordBatch.from_arrays([pa.array(cuts.of(k, t).astype(np.int64)), pa.array(np.zeros(len(k), bool)), *columns], names=names)
+        # the least of a batch's rows with such a key will do
+        again: dict = {}
+        for i, key in enumerate(zip(k.tolist(), t.tolist(), strict=True) if by_hash else k.tolist()):
+            if key in before and ((j := again.get(key)) is None or (t[i], batch.column("text")[i].as_py() or "") < (t[j], batch.column("text")[j].as_py() or "")):
+                again[key] = i
         if again:
-            part = batch.take(pa.array(again))
-            yield pa.RecordBatch.from_arrays([pa.array([before[x] for x in part.column("k").to_pylist()], pa.int64()), pa.array([True] * len(again)), part.column("k"), part.column("id"), part.column("text")], names=names)
+            part = batch.take(pa.array(list(again.values())))
+            yield pa.RecordBatch.from_arrays([pa.array([before[x] for x in again], pa.int64()), pa.array([True] * len(again)), *(part.column(c) for c in ("k", "t", "id", "text"))], names=names)
 
-    dealt = map_arrow(rows.select(key.alias("k"), "id", "text"), deal, "run long, halo boolean, k long, id long, text string")
-    return dealt.repartition(max(1, parts // 4), "run").sortWithinPartitions("run", "halo", "k", "text")
+    dealt = map_arrow(rows, deal, "run long, halo boolean, k long, t long, id long, text string")
+    return dealt.repartitionById(len(cuts), F.col("run").cast("int")).sortWithinPartitions("run", "halo", "k", "t", "text")
 
 
-def with_next(df: DataFrame, sketch: Sketch = Sketch(), parts: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def with_next(df: DataFrame, sketch: Sketch = Sketch(), parts: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """For each row its fingerprint, and the likeness to that of an edited text (the last half of the code points gives way
     to the first as many of the next row) and to that of the next row: (id_col, n_chars, edited_sha256, fingerprint,
-    edited_fingerprint, near_edited, near_next)."""
+    edited_fingerprint, near_edited, near_next). parts: of about RUN_TEXT bytes unless given."""
+    parts = parts or parts_of(df, RUN_TEXT, text_col)
     order = sketch.order()
     names = ["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 
@@ -176,4 +186,4 @@ def with_next(df: DataFrame, sketch: Sketch = Sketch(), parts: int = 200, id_col
 
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents and of their edited texts."""
-    return with_next(table(spark, sf_dir, "documents"), parts=4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return with_next(table(spark, sf_dir, "documents"))

@@ -1,23 +1,26 @@
 """Token-ID files: flat unsigned integers with 64-bit document offsets, memory-mapped.
 
 A data set is a folder. Part p has p.bin, the ids of its documents end to end as little-endian unsigned integers of 2
-bytes (of 4 if the vocabulary has over 65,536 ids), and p.idx: MAGIC, the integer's size and the number n of documents as
-64-bit integers, n + 1 offsets in ids, n document ids, n bytes that are 1 where the id is null. manifest.json names the
-parts in order with their number of documents and ids and their base, the number of ids in all parts before (prefix
-sums over parts). Each document ends with the end id.
+bytes (of 4 if the vocabulary has over 65,536 ids), and p.idx: MAGIC and the integer's size as a 64-bit integer, then for
+each document the offset of its end in ids (64 bits, the highest set where the document has no id) and its id (64 bits).
+Both are written as documents come and read by mapping, so neither side holds a part. manifest.json names the parts in
+order with their number of documents and ids and their base, the number of ids in all parts before (prefix sums over
+parts). Each document ends with the end id.
 
-Documents are dealt to parts by bounds of the ids, so that parts and documents ascend by id; a task writes its part
-under a name of its own and only parts named by finished tasks enter the manifest, so a lost task leaves no trace. The
-folder is opened by pyarrow's file systems; on a local path files are memory-mapped, elsewhere read in ranges.
+Documents are dealt to parts of about PART_TEXT bytes of text by bounds of the ids (an id of many rows is cut up by a
+hash of the text), so that parts and documents ascend by id. A task writes its part under a name of its own; only parts
+named by finished tasks enter the manifest, and what lost or repeated tasks left is deleted after that. The folder is
+opened by pyarrow's file systems; on a local path files are memory-mapped, elsewhere read in ranges.
 
 A tokenizer with byte-level pre-tokenization and no normalizer encodes each distinct piece of text once per memo; any
 other encodes whole texts, and so are texts encoded that hold the string of an added token, which the library finds
 first. Ids are those of the library's encode() with add_special_tokens=False, which only leaves out what a
 post-processor adds.
 
-Defined results: a null or empty text has the end id alone; a null id sorts first; rows of equal ids are ordered by
-their ids' bytes, so repeated rows are documents of their own. An empty table gives a data set without parts. Other
-columns are ignored.
+Defined results: a null or empty text has the end id alone; a null id sorts first; rows of equal ids are ordered by a
+hash of the text and then their ids' bytes, and repeated rows are documents of their own. A document's ids must fit a
+binary value of Spark's (2**31 - 1 bytes at 4 bytes an id) to be handed on by read(); digests() has no such bound. An
+empty table gives a data set without parts. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,6 +29,7 @@ import hashlib
 import json
 import os
 import uuid
+import zlib
 from collections.abc import Iterator
 from itertools import pairwise
 
@@ -36,11 +40,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderkeep.llm.common import held, map_arrow, prepare, table, texts
+from orderkeep.llm.common import NULL_ID, Cuts, held, map_arrow, parts_of, prepare, table, texts
 from orderkeep.session import cut, shared_folder
 
-MAGIC = b"OKTOKEN1"
-NULL_ID = -(2**63)
+MAGIC = b"OKTOKEN2"
+#: An entry of an index.
+ENTRY = np.dtype([("end", "<u8"), ("id", "<i8")])
+NO_ID = 1 << 63
+#: Bytes of text of a part.
+PART_TEXT = 64 << 20
 MEMO_ENTRIES = 500_000
 MEMO_PIECE_CHARS = 64
 #: Ids that a reader hands on at once.
@@ -109,56 +117,76 @@ def _folder(uri: str) -> tuple[pafs.FileSystem, str]:
 
 
 def write_part(fs: pafs.FileSystem, path: str, kind: np.dtype, rows: Iterator[tuple[int | None, bytes]]) -> tuple[int, int]:
-    """Write path.bin and path.idx; the number of documents and of ids."""
-    ids: list[int] = []
-    null: list[bool] = []
-    sizes: list[int] = []
-    with fs.open_output_stream(f"{path}.bin") as out:
+    """Write path.bin and path.idx as rows come; the number of documents and of ids."""
+    docs = end = 0
+    with fs.open_output_stream(f"{path}.bin") as out, fs.open_output_stream(f"{path}.idx") as index:
+        index.write(MAGIC + np.array([kind.itemsize], "<u8").tobytes())
         for i, packed in rows:
             out.write(packed)
-            ids.append(i or 0)
-            null.append(i is None)
-            sizes.append(len(packed) // kind.itemsize)
-    offsets = np.zeros(len(ids) + 1, "<u8")
-    np.cumsum(sizes, out=offsets[1:])
-    with fs.open_output_stream(f"{path}.idx") as out:
-        out.write(MAGIC + np.array([kind.itemsize, len(ids)], "<u8").tobytes() + offsets.tobytes() + np.array(ids, "<i8").tobytes() + np.array(null, np.uint8).tobytes())
-    return len(ids), int(offsets[-1])
+            docs, end = docs + 1, end + len(packed) // kind.itemsize
+            index.write(np.array([(end | NO_ID if i is None else end, i or 0)], ENTRY).tobytes())
+    return docs, end
 
 
-class Part:
-    """A part for reading: ids (null as None), offsets, and the documents' packed ids by slices of the mapped file."""
+class _Mapped:
+    """A file's bytes, mapped where it is local, else read range by range."""
 
     def __init__(self, fs: pafs.FileSystem, path: str):
-        with fs.open_input_file(f"{path}.idx") as f:
-            index = f.read()
-        size, n = (int(x) for x in np.frombuffer(index, "<u8", 2, 8))
-        if index[:8] != MAGIC or len(index) != 24 + 8 * (n + 1) + 9 * n:
-            raise ValueError(f"{path}.idx isn't an index")
-        self.type = np.dtype(f"<u{size}")
-        self.offsets = np.frombuffer(index, "<u8", n + 1, 24).astype(np.int64)
-        ids, null = np.frombuffer(index, "<i8", n, 32 + 8 * n), np.frombuffer(index, np.uint8, n, 32 + 16 * n)
-        self.ids = [None if z else i for i, z in zip(ids.tolist(), null.tolist(), strict=True)]
-        self.fs, self.path = fs, f"{path}.bin"
-        local = isinstance(fs, pafs.LocalFileSystem)
-        self.mapped = np.memmap(self.path, self.type, "r") if local and self.offsets[-1] else None
-        if (os.path.getsize(self.path) if local else fs.get_file_info(self.path).size) != int(self.offsets[-1]) * size:
-            raise ValueError(f"{self.path} has another size than its index says")
-
-    def ids_of(self, first: int, after: int) -> np.ndarray:
-        """The ids of documents first to after - 1, end to end."""
-        a, b = int(self.offsets[first]), int(self.offsets[after])
-        if a == b:
-            return np.zeros(0, self.type)
+        self.fs, self.path = fs, path
+        self.local = isinstance(fs, pafs.LocalFileSystem)
+        self.size = os.path.getsize(path) if self.local else fs.get_file_info(path).size
+        self.mapped = np.memmap(path, np.uint8, "r") if self.local and self.size else None
+
+    def bytes(self, first: int, after: int) -> np.ndarray:
         if self.mapped is not None:
-            return self.mapped[a:b]
+            return self.mapped[first:after]
+        if first >= after:
+            return np.zeros(0, np.uint8)
         with self.fs.open_input_file(self.path) as f:
-            f.seek(a * self.type.itemsize)
-            return np.frombuffer(f.read((b - a) * self.type.itemsize), self.type)
+            f.seek(first)
+            return np.frombuffer(f.read(after - first), np.uint8)
 
 
-def write(df: DataFrame, folder: str, tokenizer_path: str, pattern: str, end_id: int = 0, parts: int = 64, id_col: str = "doc_id", text_col: str = "text") -> list[dict]:
-    """Write df's documents as a data set; its manifest. The driver gets bounds of the ids and a row for each part."""
+class Part:
+    """A part for reading: its documents' ids, offsets and packed ids, by slices of the mapped files."""
+
+    def __init__(self, fs: pafs.FileSystem, path: str):
+        self.ids_file, self.index = _Mapped(fs, f"{path}.bin"), _Mapped(fs, f"{path}.idx")
+        head = self.index.bytes(0, 16).tobytes()
+        if head[:8] != MAGIC or (self.index.size - 16) % ENTRY.itemsize:
+            raise ValueError(f"{path}.idx isn't an index")
+        self.type = np.dtype(f"<u{int.from_bytes(head[8:], 'little')}")
+        self.docs = (self.index.size - 16) // ENTRY.itemsize
+        if self.ids_file.size != (self.ends(self.docs - 1, self.docs)[1][-1] if self.docs else 0) * self.type.itemsize:
+            raise ValueError(f"{path}.bin has another size than its index says")
+
+    def ends(self, first: int, after: int) -> tuple[list[int | None], np.ndarray]:
+        """(document ids, ends) of documents first to after - 1."""
+        entries = np.ascontiguousarray(self.index.bytes(16 + first * ENTRY.itemsize, 16 + after * ENTRY.itemsize)).view(ENTRY)
+        none = entries["end"] >= NO_ID
+        return [None if x else i for i, x in zip(entries["id"].tolist(), none.tolist(), strict=True)], (entries["end"] & np.uint64(NO_ID - 1)).astype(np.int64)
+
+    def ids(self, first: int, after: int) -> np.ndarray:
+        """The ids from offset first to after - 1."""
+        size = self.type.itemsize
+        return np.ascontiguousarray(self.ids_file.bytes(first * size, after * size)).view(self.type)
+
+    def runs(self, most: int = READ_IDS, docs: int = 4096) -> Iterator[tuple[list[int | None], np.ndarray, np.ndarray]]:
+        """(document ids, offsets: one more than documents, packed ids) for runs of documents of about `most` ids."""
+        at = begin = 0
+        while at < self.docs:
+            known, ends = self.ends(at, min(self.docs, at + docs))
+            a = 0
+            while a < len(known):
+                b = max(a + 1, int(np.searchsorted(ends, begin + most, side="right")))
+                yield known[a:b], np.concatenate(([begin], ends[a:b])), self.ids(begin, int(ends[b - 1]))
+                a, begin = b, int(ends[b - 1])
+            at += len(known)
+
+
+def write(df: DataFrame, folder: str, tokenizer_path: str, pattern: str, end_id: int = 0, parts: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> list[dict]:
+    """Write df's documents as a data set; its manifest. The driver gets bounds of the ids and a row for each part; parts:
+    of about PART_TEXT bytes of text unless given."""
     spark = df.sparkSession
     prepare(spark)
     with open(tokenizer_path, encoding="utf-8") as f:
@@ -167,14 +195,14 @@ def write(df: DataFrame, folder: str, tokenizer_path: str, pattern: str, end_id:
     tokens = lambda: held(key, lambda: Tokens(shared.value, pattern))
     kind = Tokens(content, pattern).type
     end = np.array([end_id], kind).tobytes()
-    rows = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("k"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    bounds = (rows.agg(F.percentile_approx("k", [i / parts for i in range(1, parts)], 20 * parts)).first()[0] if parts > 1 else None) or []
-    cuts = np.unique(np.array(bounds, np.int64))
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = rows.select(F.coalesce("id", F.lit(NULL_ID)).alias("k"), F.xxhash64("text").alias("t"), "id", "text")
+    cuts = Cuts(rows.select("k"), parts or parts_of(rows, PART_TEXT))
 
     def encode(batch: pa.RecordBatch) -> pa.RecordBatch:
         code = tokens().ids
-        part = np.searchsorted(cuts, batch.column("k").to_numpy(zero_copy_only=False), side="right")
-        return pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), batch.column("k"), batch.column("id"), pa.array([code(t) + end for t in texts(batch)], pa.binary())], names=["part", "k", "id", "ids"])
+        part = cuts.of(*(batch.column(c).to_numpy(zero_copy_only=False) for c in ("k", "t")))
+        return pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), *(batch.column(c) for c in ("k", "t", "id")), pa.array([code(t) + end for t in texts(batch)], pa.binary())], names=["part", "k", "t", "id", "ids"])
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
@@ -188,7 +216,7 @@ def write(df: DataFrame, folder: str, tokenizer_path: str, pattern: str, end_id:
         docs, ids = write_part(fs, f"{top}/{name}", kind, (x for many in ((first,), each) for x in many))
         yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (task.partitionId(), name, docs, ids)], names=["part", "name", "docs", "ids"])
 
-    dealt = map_arrow(rows, encode, "part int, k long, id long, ids binary").repartitionById(len(cuts) + 1, F.col("part")).sortWithinPartitions("k", "ids")
+    dealt = map_arrow(rows, encode, "part int, k long, t long, id long, ids binary").repartitionById(len(cuts), F.col("part")).sortWithinPartitions("k", "t", "ids")
     done = cut(dealt.select("id", "ids").mapInArrow(put, "part long, name string, docs long, ids long")).orderBy("part").collect()
     base = np.concatenate(([0], np.cumsum([r.ids for r in done], dtype=np.int64))).tolist()
     manifest = [{"name": r.name, "docs": r.docs, "ids": r.ids, "base": b} for r, b in zip(done, base, strict=False)]
@@ -196,29 +224,54 @@ def write(df: DataFrame, folder: str, tokenizer_path: str, pattern: str, end_id:
     fs.create_dir(top, recursive=True)
     with fs.open_output_stream(f"{top}/manifest.json") as f:
         f.write(json.dumps(manifest).encode())
+    named = {f"{p['name']}.{x}" for p in manifest for x in ("bin", "idx")}
+    for f in fs.get_file_info(pafs.FileSelector(top)):
+        if f.base_name.startswith("part-") and f.base_name not in named:
+            fs.delete_file(f.path)
     return manifest
 
 
-def read(spark: SparkSession, folder: str) -> DataFrame:
-    """(id, start, n_tokens, ids binary of little-endian unsigned 32-bit integers) of a data set's documents; start: the ids of all before."""
+def _parts(spark: SparkSession, folder: str) -> DataFrame:
     prepare(spark)
     fs, top = _folder(folder)
     with fs.open_input_file(f"{top}/manifest.json") as f:
         manifest = json.loads(f.read())
-    parts = spark.createDataFrame([(p["name"], p["base"]) for p in manifest], "name string, base long").repartition(max(1, len(manifest)))
+    return spark.createDataFrame([(p["name"], p["base"]) for p in manifest], "name string, base long").repartition(max(1, len(manifest)))
+
+
+def read(spark: SparkSession, folder: str) -> DataFrame:
+    """(id, start, n_tokens, ids binary of little-endian unsigned 32-bit integers) of a data set's documents; start: the ids of all before."""
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        fs, top = _folder(folder)
+        for name, base in zip(batch.column("name").to_pylist(), batch.column("base").to_pylist(), strict=True):
+            for known, off, ids in Part(fs, f"{top}/{name}").runs():
+                if 4 * len(ids) >= 1 << 31:
+                    raise ValueError(f"a document of {folder} has too many ids for one value")
+                at = ((off - off[0]) * 4).astype(np.int32)
+                packed = pa.Array.from_buffers(pa.binary(), len(known), [None, pa.py_buffer(at.tobytes()), pa.py_buffer(ids.astype("<u4").tobytes())])
+                yield pa.RecordBatch.from_arrays([pa.array(known, pa.int64()), pa.array(off[:-1] + base), pa.array(np.diff(off)), packed], names=["id", "start", "n_tokens", "ids"])
+
+    return map_arrow(_parts(spark, folder), run, "id long, start long, n_tokens long, ids binary")
+
+
+def digests(spark: SparkSession, folder: str) -> DataFrame:
+    """(id, start, n_tokens, ids_crc32 long) of a data set's documents; the crc32 is that of read()'s ids."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         fs, top = _folder(folder)
         for name, base in zip(batch.column("name").to_pylist(), batch.column("base").to_pylist(), strict=True):
             part = Part(fs, f"{top}/{name}")
-            stops = np.unique(np.append(np.searchsorted(part.offsets, np.arange(0, part.offsets[-1], READ_IDS)), len(part.ids)))
-            for a, b in pairwise([0, *(s for s in stops.tolist() if s)]):
-                ids, off = part.ids_of(a, b).astype("<u4"), part.offsets[a : b + 1]
-                data, at = ids.tobytes(), ((off - off[0]) * 4).astype(np.int32)
-                packed = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(at.tobytes()), pa.py_buffer(data)])
-                yield pa.RecordBatch.from_arrays([pa.array(part.ids[a:b], pa.int64()), pa.array(off[:-1] + base), pa.array(np.diff(off)), packed], names=["id", "start", "n_tokens", "ids"])
+            for known, off, ids in part.runs():
+                crc = []
+                for a, b in pairwise((off - off[0]).tolist()):
+                    c = 0
+                    for x in range(a, b, READ_IDS):  # a long document bit by bit
+                        c = zlib.crc32(ids[x : min(b, x + READ_IDS)].astype("<u4").tobytes(), c)
+                    crc.append(c)
+                yield pa.RecordBatch.from_arrays([pa.array(known, pa.int64()), pa.array(off[:-1] + base), pa.array(np.diff(off)), pa.array(crc, pa.int64())], names=["id", "start", "n_tokens", "ids_crc32"])
 
-    return map_arrow(parts, run, "id long, start long, n_tokens long, ids binary")
+    return map_arrow(_parts(spark, folder), run, "id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -226,6 +279,5 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     folder = f"{shared_folder(spark).rstrip('/')}/tokens-{uuid.uuid4().hex}"
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    write(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, parts=parts)
-    return read(spark, folder).select(F.col("id").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    write(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    return digests(spark, folder).withColumnRenamed("id", "doc_id")

@@ -32,21 +32,52 @@ def test_round_trip(spark, tmp_path):
     df = spark.createDataFrame([(*r, "z") for r in rows], "doc_id long, text string, ids string").repartition(6)
     ref = Tokenizer.from_file(PATH)
     own = sorted(((i is not None, i or 0, np.array(ref.encode(t or "").ids + [0], "<u2").tobytes()) for i, t in rows))
+    by_id = lambda found: [x[:2] for x in found]
     for parts in (1, 9):
         folder = f"file://{tmp_path}/t{parts}"
         manifest = F.write(df, folder, PATH, P.PATTERN, parts=parts)
         assert sum(p["docs"] for p in manifest) == len(rows) and (len(manifest) == 1) == (parts == 1)
         got = sorted(F.read(spark, folder).collect(), key=lambda r: r.start)
         start = 0
-        for r, (known, i, packed) in zip(got, own, strict=True):
-            ids = np.frombuffer(packed, "<u2")
-            assert (r.id is not None, r.id or 0, r.start, r.n_tokens) == (known, i, start, len(ids))
-            assert zlib.crc32(bytes(r.ids)) == zlib.crc32(ids.astype("<u4").tobytes())
+        for r in got:
+            ids = np.frombuffer(bytes(r.ids), "<u4")
+            assert (r.start, r.n_tokens) == (start, len(ids))
             start += len(ids)
+        told = [(r.id is not None, r.id or 0, np.frombuffer(bytes(r.ids), "<u4").astype("<u2").tobytes()) for r in got]
+        assert by_id(told) == by_id(own) and sorted(told) == own  # rows of equal ids come in an order of their own
+        crc = sorted((r.start, r.id, r.n_tokens, r.ids_crc32) for r in F.digests(spark, folder).collect())
+        assert crc == [(r.start, r.id, r.n_tokens, zlib.crc32(bytes(r.ids))) for r in got]
+        names = {p["name"] for p in manifest}
+        assert {x.name.rpartition(".")[0] for x in (tmp_path / f"t{parts}").iterdir() if x.name.startswith("part-")} == names
     assert F.write(df.limit(0), f"file://{tmp_path}/none", PATH, P.PATTERN) == []
     assert F.read(spark, f"file://{tmp_path}/none").count() == 0
 
 
+def test_query_against_the_library(spark, monkeypatch):
+    sf = "/root/testdata/sf0.001"
+    ref, rows, start = Tokenizer.from_file(PATH), spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect(), 0
+    want = []
+    for i, t in sorted((r.doc_id, r.text or "") for r in rows):
+        ids = np.array(ref.encode(t, add_special_tokens=False).ids + [0], "<u4")
+        want.append((i, start, len(ids), zlib.crc32(ids.tobytes())))
+        start += len(ids)
+    for size in (F.PART_TEXT, 10_000):  # few and many parts
+        monkeypatch.setattr(F, "PART_TEXT", size)
+        got = F.op7_token_files(spark, sf)
+        assert sorted(map(tuple, got.select("doc_id", "start", "n_tokens", "ids_crc32").collect())) == want
+
+
+def test_long_parts_come_in_runs(tmp_path):
+    from pyarrow import fs
+
+    docs = [(None if i % 50 == 0 else i, np.arange(i % 7 * 100, dtype="<u2").tobytes()) for i in range(9000)]
+    assert F.write_part(fs.LocalFileSystem(), f"{tmp_path}/p", np.dtype("<u2"), iter(docs)) == (9000, sum(len(x) // 2 for _, x in docs))
+    part, back = F.Part(fs.LocalFileSystem(), f"{tmp_path}/p"), []
+    for known, off, ids in part.runs(most=1000, docs=100):
+        back += [(i, ids[a - off[0] : b - off[0]].tobytes()) for i, a, b in zip(known, off[:-1], off[1:], strict=True)]
+    assert back == docs
+
+
 def test_added_tokens_are_found_as_the_library_does(spark, tmp_path):
     texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n y", "<|endoftext", "no such string", "é<|endoftext|>" * 500]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)

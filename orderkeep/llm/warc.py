@@ -3,9 +3,14 @@
 Writing: each page is a record whose block is an HTTP response with the payload in chunked transfer framing. A block
 longer than SEGMENT_BYTES is cut: the first segment is the record itself (WARC-Segment-Number 1), the others are
 continuation records that name it (WARC-Segment-Origin-ID) and their number, the last with WARC-Segment-Total-Length.
-Of pages with equal payloads one is the response, the others are revisit records without payload that refer to it.
-Files are written by Spark's text writer (a record's bytes are passed through; records end in two line ends, its line
-separator), so that Spark commits them on any store that it can write, also when tasks are tried again.
+Of pages with equal payloads one is the response, the others are revisit records without payload; WARC-Refers-To names
+the response's record. A record's id is made of its page and its payload's digest, so that a revisit knows the id of
+what it refers to; rows that repeat page and payload have a number as well, given once and checkpointed.
+
+Each record is a gzip member of its own, so that a reader can begin at any. Files are written by Spark's text writer, which
+passes a value's bytes through, so that Spark commits them on any store that it can write, also when tasks are tried
+again; its line separator, which follows each value, is a fixed member that holds a record's two line ends. (Spark's
+writer ends their names in .txt; they are what others call .warc.gz.)
 
 Reading: whole archive files (bounded by FILE_RECORDS) are parsed by Content-Length. Records in one part are
 decoded where they are read; segments are grouped by origin identifier, ordered by number and joined, and their total
@@ -13,12 +18,16 @@ length is verified; then the chunked framing is decoded. A revisit gets size and
 
 Defined results: a null html is an empty payload. A null page id is written as such; nulls are last in the choice of
 the response, and rows that share the smallest id and the payload are all responses. Repeated rows are records of their
-own (record ids are numbered). An empty table gives empty archives and an empty result. Other columns are ignored.
+own. A null or empty url is urn:page: and the page's id, as a record must name its target. A very long html is cut into
+as many segments as it takes. An empty table gives empty archives and an empty result. Other columns are ignored,
+whatever their names. A payload of which 100,000 or more repeat one another is joined by its digest, by a shuffle whose
+skewed parts Spark splits.
 """
 
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 import uuid
@@ -35,9 +44,10 @@ SEGMENT_BYTES = 16 << 10
 CHUNK_BYTES = 4 << 10
 #: Records of an archive file at most; keeps a file's size, and so a reader's memory, bounded.
 FILE_RECORDS = 1000
-BATCH_FILES = 32
 #: Up to so many repeated payloads are broadcast; more are joined by a shuffle.
 MAX_SMALL = 100_000
+# Fixed value: a gzip member of the four bytes that end a record (no time, no name, stored).
+RECORD_END = bytes.fromhex("1f8b08000000000000ff" "010400fbff" "0d0a0d0a" "4415c28b" "04000000")
 # Fixed value: the date of every record; archives of the same pages are the same.
 DATE = "2000-01-01T00:00:00Z"
 
@@ -73,13 +83,19 @@ def _record(kind: str, fields: dict[str, object], block: bytes) -> bytes:
     return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head.items() if v is not None).encode() + b"\r\n" + block
 
 
-def records(number: int, page: int | None, url: str | None, payload: bytes, hashed: str, response: int | None, segment: int = SEGMENT_BYTES) -> Iterator[bytes]:
-    """A page's records without the line ends that follow each. response: the page that a revisit refers to."""
-    name = f"<urn:page:{'-' if page is None else page}:{number}>"
-    fields = {"WARC-Record-ID": name, "WARC-Target-URI": re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url) if url else None, "WARC-Payload-Digest": f"sha1:{hashed}", "Content-Type": "application/http; msgtype=response"}
+def record_id(page: int | None, hashed: str, number: int | None = None) -> str:
+    """A record's id, by its page and payload digest, and a number where rows repeat both."""
+    return f"<urn:page:{'-' if page is None else page}:{hashed}{'' if number is None else f':{number}'}>"
+
+
+def records(page: int | None, url: str | None, payload: bytes, hashed: str, response: str | None = None, number: int | None = None, segment: int = SEGMENT_BYTES) -> Iterator[bytes]:
+    """A page's records without the line ends that follow each. response: the id of the record that a revisit refers to."""
+    name = record_id(page, hashed, number)
+    target = re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url) if url else f"urn:page:{'-' if page is None else page}"
+    fields = {"WARC-Record-ID": name, "WARC-Target-URI": target, "WARC-Payload-Digest": f"sha1:{hashed}", "Content-Type": "application/http; msgtype=response"}
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
     if response is not None:
-        yield _record("revisit", fields | {"WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "WARC-Refers-To": f"<urn:page:{response}>"}, http)
+        yield _record("revisit", fields | {"WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "WARC-Refers-To": response}, http)
         return
     block = http + chunked(payload)
     if len(block) <= segment:
@@ -91,7 +107,7 @@ def records(number: int, page: int | None, url: str | None, payload: bytes, hash
         if k == 1:
             yield _record("response", fields | {"WARC-Segment-Number": 1}, part)
         else:
-            yield _record("continuation", {"WARC-Record-ID": f"{name[:-1]}:{k}>", "WARC-Segment-Origin-ID": name, "WARC-Segment-Number": k, "WARC-Segment-Total-Length": len(block) if k == last else None}, part)
+            yield _record("continuation", {"WARC-Record-ID": f"{name[:-1]}/{k}>", "WARC-Segment-Origin-ID": name, "WARC-Segment-Number": k, "WARC-Segment-Total-Length": len(block) if k == last else None}, part)
 
 
 def write(pages: DataFrame, folder: str, least_bytes: int = 0, segment: int = SEGMENT_BYTES) -> None:
@@ -100,24 +116,39 @@ def write(pages: DataFrame, folder: str, least_bytes: int = 0, segment: int = SE
     prepare(spark)
     payload = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page"), F.col("url").cast("string").alias("url"), payload.alias("html"), F.sha1(payload.cast("binary")).alias("sha"), F.octet_length(payload).alias("size"))
-    twice = cut(rows.filter(F.col("size") >= least_bytes).groupBy("sha", "size").agg(F.min("page").alias("response"), F.count("*").alias("n")).filter("n > 1").select("sha", "size", "response"))
-    known = rows.join(F.broadcast(twice) if twice.count() <= MAX_SMALL else twice, ["sha", "size"], "left")
-    known = known.select("page", "url", "html", F.unhex("sha").alias("sha"), F.when(~F.col("page").eqNullSafe(F.col("response")), F.col("response")).alias("response"), F.monotonically_increasing_id().alias("number"))
+    same = cut(rows.groupBy("sha", "size").agg(F.min("page").alias("response"), F.count("*").alias("n")).filter("n > 1").select("sha", "size", "response"))
+    few = F.broadcast(same) if same.count() <= MAX_SMALL else same
+    known = rows.join(few, ["sha", "size"], "left")
+    known = known.withColumn("response", F.when((F.col("size") >= least_bytes) & ~F.col("page").eqNullSafe(F.col("response")), F.col("response")))
+    # rows that repeat page and payload: few tables have any
+    again = cut(rows.select("page", "sha", "size").join(few, ["sha", "size"], "left_semi").groupBy("page", "sha", "size").count().filter("count > 1").select(F.col("page").alias("p"), F.col("sha").alias("s"), F.col("size").alias("z")))
+    known = known.withColumns({"number": F.lit(None).cast("long"), "first": F.lit(None).cast("long")})
+    if again.count():
+        hit = F.col("page").eqNullSafe(F.col("p")) & (F.col("sha") == F.col("s")) & (F.col("size") == F.col("z"))
+        one = F.broadcast(again) if again.count() <= MAX_SMALL else again
+        numbered = cut(known.drop("number").join(one, hit, "left_semi").withColumn("number", F.monotonically_increasing_id()).select(*known.columns))
+        known = known.join(one, hit, "left_anti").unionByName(numbered)
+        # a revisit names the first of several responses
+        begin = cut(numbered.filter("response IS NULL").groupBy("page", "sha", "size").agg(F.min("number").alias("f")).select(F.col("page").alias("p"), F.col("sha").alias("s"), F.col("size").alias("z"), "f"))
+        refers = (F.col("response") == F.col("p")) & (F.col("sha") == F.col("s")) & (F.col("size") == F.col("z"))
+        known = known.join(F.broadcast(begin) if begin.count() <= MAX_SMALL else begin, refers, "left").withColumn("first", F.col("f"))
+    known = known.select("page", "url", "html", F.unhex("sha").alias("sha"), "response", "number", "first")
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for page, url, html, sha, response, number in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            for r in records(number, page, url, html.encode(), base64.b32encode(sha).decode(), response, segment):
-                held.append(r)
-                size += len(r)
+        made, size = [], 0
+        for page, url, html, sha, response, number, first in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            hashed = base64.b32encode(sha).decode()
+            for r in records(page, url, html.encode(), hashed, None if response is None else record_id(response, hashed, first), number, segment):
+                made.append(gzip.compress(r, 6, mtime=0))
+                size += len(made[-1])
             if size > 4 << 20:
-                yield pa.RecordBatch.from_arrays([pa.array(held, pa.binary())], names=["record"])
-                held, size = [], 0
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array(held, pa.binary())], names=["record"])
+                yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], names=["record"])
+                made, size = [], 0
+        if made:
+            yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], names=["record"])
 
-    made = map_arrow(known, run, "record binary").select(F.col("record").cast("string").alias("value"))
-    made.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(folder)
+    written = map_arrow(known, run, "record binary").select(F.col("record").cast("string").alias("value"))
+    written.write.option("encoding", "ISO-8859-1").option("lineSep", RECORD_END.decode("latin-1")).option("maxRecordsPerFile", FILE_RECORDS).text(folder)
 
 
 def parse(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -155,13 +186,10 @@ def reassemble(parts: list[tuple[int, int | None, bytes]]) -> bytes:
 
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
-    """(page_id, record_type, refers_to, payload binary, payload_bytes, payload_digest) for each response and revisit; a
-    revisit has no payload of its own, but size and digest of the one it refers to."""
-    import gzip
-
+    """(page_id, record_type, refers_to, payload binary, payload_bytes, payload_digest, record_id, refers_id) for each response
+    and revisit; a revisit has no payload of its own."""
     prepare(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_FILES))  # a row is a whole file
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(folder).select("content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder).select("content")
     kinds = "name string, type string, refers string, digest string, origin string, segment int, total long, block binary"
     names = [x.split()[0] for x in kinds.split(", ")]
     arrow = [*[pa.string()] * 5, pa.int32(), pa.int64(), pa.binary()]
@@ -191,25 +219,27 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
         for name, kind, refers, hashed, block, parts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if parts:
                 block = reassemble([(p["segment"], p["total"], p["block"]) for p in parts])
-            page, refers = (x and x.strip("<>").split(":")[2] for x in (name, refers))
+            page, other = (x and x.strip("<>").split(":")[2] for x in (name, refers))
             payload = payload_of(block) if kind == "response" else None
             own = None if payload is None else digest(payload)
             if own is not None and hashed not in (None, f"sha1:{own}"):
                 raise ValueError(f"the payload of {name} has another digest")
-            out.append([None if page == "-" else int(page), kind, refers and int(refers), payload, None if payload is None else len(payload), own])
-        types = [pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.int64(), pa.string()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 6, types, strict=True)], names=["page_id", "record_type", "refers_to", "payload", "payload_bytes", "payload_digest"])
+            out.append([None if page == "-" else int(page), kind, other and int(other), payload, None if payload is None else len(payload), own, name, refers])
+        types = [pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.int64(), pa.string(), pa.string(), pa.string()]
+        names = ["page_id", "record_type", "refers_to", "payload", "payload_bytes", "payload_digest", "record_id", "refers_id"]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * len(types), types, strict=True)], names=names)
 
-    return map_arrow(joined, decode, "page_id long, record_type string, refers_to long, payload binary, payload_bytes long, payload_digest string")
+    return map_arrow(joined, decode, "page_id long, record_type string, refers_to long, payload binary, payload_bytes long, payload_digest string, record_id string, refers_id string")
 
 
 def resolve(found: DataFrame) -> DataFrame:
-    """What read() gave, without payloads; revisits with size and digest of the response that they refer to."""
+    """What read() gave, without payloads; revisits with size and digest of the record that they refer to."""
+    columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
     rows = cut(found.drop("payload"))
-    revisits = rows.filter("record_type = 'revisit'").select("page_id", "refers_to")
-    seen = revisits.select(F.col("refers_to").alias("page_id")).distinct()
-    sources = rows.filter("record_type = 'response'").join(seen, "page_id", "left_semi").groupBy(F.col("page_id").alias("refers_to")).agg(F.min("payload_bytes").alias("payload_bytes"), F.min("payload_digest").alias("payload_digest"))
-    return rows.filter("record_type = 'response'").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").unionByName(revisits.join(sources, "refers_to", "left").select("page_id", "payload_bytes", "payload_digest", F.lit("revisit").alias("record_type"), "refers_to"))
+    responses, revisits = rows.filter("record_type = 'response'"), rows.filter("record_type = 'revisit'")
+    named = revisits.select(F.col("refers_id").alias("record_id")).distinct()
+    sources = cut(responses.join(named, "record_id", "left_semi").select(F.col("record_id").alias("refers_id"), "payload_bytes", "payload_digest"))
+    return responses.select(columns).unionByName(revisits.drop("payload_bytes", "payload_digest").join(sources, "refers_id", "left").select(columns))
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

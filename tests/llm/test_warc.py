@@ -1,6 +1,7 @@
 import base64
 import hashlib
 import random
+import zlib
 
 import pytest
 
@@ -12,7 +13,7 @@ def test_framing():
     for n in (0, 1, 4095, 4096, 4097, 50_000):
         p = rng.randbytes(n)
         assert W.dechunked(W.chunked(p)) == p
-        text = b"".join(r + b"\r\n\r\n" for r in W.records(3, 7, "http://x/é y", p, W.digest(p), None, 1000))
+        text = b"".join(r + b"\r\n\r\n" for r in W.records(7, "http://x/é y", p, W.digest(p), segment=1000))
         got = list(W.parse(text))
         segments = [(int(f.get("warc-segment-number", 1)), int(f["warc-segment-total-length"]) if "warc-segment-total-length" in f else None, b) for f, b in got]
         assert len(segments) == max(1, -(-len(b"".join(b for _, b in got)) // 1000))
@@ -43,7 +44,7 @@ def expected(rows, least=0):
 def test_round_trip(spark, tmp_path, least):
     rng = random.Random(2)
     rows = [(i, f"http://a/{i}", "\r\n\r\nWARC/1.1 é漢 " * rng.randint(0, 3000)) for i in range(60)]
-    rows += [(100, None, None), (101, "u", ""), (102, "u", rows[5][2]), (103, "u", "x" * 300_000), (104, "u", "x" * 300_000), (None, "u", "x" * 300_000), (None, None, "only"), (105, "u", "twice"), (105, "u", "twice")]
+    rows += [(100, None, None), (101, "u", ""), (102, "u", rows[5][2]), (103, "u", "x" * 300_000), (104, "u", "x" * 300_000), (None, "u", "x" * 300_000), (None, None, "only"), (105, "u", "twice"), (105, "u", "twice"), (106, "u", "twice")]
     df = spark.createDataFrame([(*r, 1) for r in rows], "page_id long, url string, html string, number int").repartition(4)
     W.write(df, f"file://{tmp_path}/w", least)
     got = W.resolve(W.read(spark, f"file://{tmp_path}/w")).collect()
@@ -52,6 +53,55 @@ def test_round_trip(spark, tmp_path, least):
     assert all(dict((str(p), (h or "").encode()) for p, _, h in rows if p is not None).get(p, x) == x for p, x in back)
 
 
+def plain_records(folder):
+    """(fields, block) of all records, by gzip members and Content-Length alone."""
+    for path in sorted(folder.glob("part-*")):
+        data, content = path.read_bytes(), b""
+        while data:  # each member stands alone
+            one = zlib.decompressobj(31)
+            part = one.decompress(data)
+            assert part.startswith(b"WARC/1.1\r\n") or part == b"\r\n\r\n"
+            content, data = content + part, one.unused_data
+        while content:
+            head, _, rest = content.partition(b"\r\n\r\n")
+            fields = dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])
+            size = int(fields["Content-Length"])
+            yield fields, rest[:size]
+            assert rest[size : size + 4] == b"\r\n\r\n"
+            content = rest[size + 4 :]
+
+
+def test_archives_by_a_plain_reader(spark, tmp_path):
+    rng = random.Random(5)
+    rows = [(i, f"http://a/{i}" if i % 5 else None, "payload é " * rng.choice([0, 1, 1, 2, 4000, rng.randint(1, 5000)])) for i in range(120)]
+    rows += [(3, "http://b", "again"), (3, "http://b", "again"), (4, "", "again"), (3, "http://c", "other"), (5, "http://c", "other"), (None, "http://n", "other")]
+    W.write(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3), f"file://{tmp_path}/w")
+    found = list(plain_records(tmp_path / "w"))
+    names = [f["WARC-Record-ID"] for f, _ in found]
+    assert len(set(names)) == len(names)
+    blocks, got = {}, []
+    for f, block in found:
+        if f["WARC-Type"] == "response":
+            blocks[f["WARC-Record-ID"]] = [(1, block)]
+    for f, block in found:
+        assert f["WARC-Date"] and (f["WARC-Type"] == "continuation" or f["WARC-Target-URI"])
+        if f["WARC-Type"] == "continuation":
+            blocks[f["WARC-Segment-Origin-ID"]].append((int(f["WARC-Segment-Number"]), block))
+    for f, _ in found:
+        if f["WARC-Type"] != "continuation":
+            body = b"".join(b for _, b in sorted(blocks[f.get("WARC-Refers-To", f["WARC-Record-ID"])])).partition(b"\r\n\r\n")[2]
+            payload = b""
+            while body[:1] != b"0":  # chunks
+                size, _, body = body.partition(b"\r\n")
+                payload, body = payload + body[: int(size, 16)], body[int(size, 16) + 2 :]
+            assert f["WARC-Payload-Digest"] == "sha1:" + base64.b32encode(hashlib.sha1(payload).digest()).decode()
+            got.append((f["WARC-Record-ID"].split(":")[2], payload.decode(), f["WARC-Type"]))
+    kinds = {(p, n): k for p, n, _, k, _ in expected(rows)}
+    assert sorted(got) == sorted(("-" if p is None else str(p), h, kinds[str(p), len(h.encode())]) for p, _, h in rows)
+    told = W.resolve(W.read(spark, f"file://{tmp_path}/w")).collect()
+    assert sorted((str(r.page_id), r.payload_bytes, r.payload_digest, r.record_type, str(r.refers_to)) for r in told) == expected(rows)
+
+
 def test_empty(spark, tmp_path):
     W.write(spark.createDataFrame([], "page_id long, url string, html string"), f"file://{tmp_path}/w")
     assert W.resolve(W.read(spark, f"file://{tmp_path}/w")).count() == 0

@@ -5,12 +5,10 @@ A document's words as a model reads them come last: the last stage returns each
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from orderkeep.llm import bpe, mixing, ngram_join, quality_model, quality_rules
-from orderkeep.session import shared_folder
+from orderkeep.session import own_folder, remove
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,10 +49,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over documents, each written as Parquet into the shared folder and read again."""
-    folder = f"{shared_folder(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    """The stages over documents, each written as Parquet into the shared folder and read again; what a stage has read goes
+    once it is written, and the last stage's rows when the driver ends."""
+    folder = own_folder(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+        if k:
+            remove(spark, f"{folder}/{k - 1}")
     return docs

@@ -18,11 +18,19 @@ def column(name: str) -> Column:
     return F.col(quote(name))
 
 
+class MissingColumns(ValueError):
+    """A sort column that the table has not."""
+
+
+# Fixed value: how a missing column is told.
+MISSING = "missing sort columns: {missing}. Valid fields: {fields}"
+
+
 def check_columns(keys: Sequence[str], schema: T.StructType) -> None:
     """Raise unless each key is a column, by its exact name, of a type that has an order."""
     missing = [k for k in keys if k not in schema.fieldNames()]
     if missing:
-        raise ValueError(f"missing sort columns: {missing}. Valid fields: {sorted(schema.fieldNames())}")
+        raise MissingColumns(MISSING.format(missing=missing, fields=sorted(schema.fieldNames())))
     bad = [k for k in keys if not orderable(schema[k].dataType)]
     if bad:
         raise ValueError(f"sort columns of a type without order: {bad}")

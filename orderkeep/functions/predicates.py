@@ -62,18 +62,3 @@ def column_predicate(values: Sequence[tuple[str, str | None]], schema: T.StructT
         kind = schema[name].dataType
         parts.append(column(name).isNull() if raw is None else (column(name) == F.lit(raw).try_cast(kind)))
     return reduce(lambda a, b: a & b, parts, F.lit(True))
-
-
-def literal_column(raw: Column, kind: str) -> Column:
-    """literal() over a column of partition values, for types of one kind: int, float, bool, decimal or text."""
-    value = F.btrim(raw, F.lit('"'))
-    quoted = F.concat(F.lit("'"), F.replace(value, F.lit("'"), F.lit("''")), F.lit("'"))
-    if kind == "int":
-        return F.when(value.rlike(r"^[+-]?\d+$"), value).otherwise(quoted)
-    if kind == "float":
-        return F.when(value.try_cast("double").isNotNull() & ~value.rlike(r"\s|[dDfF]$"), value).otherwise(quoted)
-    if kind == "bool":
-        return F.when(F.lower(value).isin("true", "false"), F.upper(value)).otherwise(quoted)
-    if kind == "decimal":
-        return F.when(value.rlike(r"^[0-9.+-]*$"), value).otherwise(quoted)
-    return quoted

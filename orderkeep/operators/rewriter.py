@@ -16,12 +16,12 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.sql import DataFrame, SparkSession
 
 from orderkeep.config import SortConfig
-from orderkeep.functions.keys import check_columns, sort_by
+from orderkeep.functions.keys import MissingColumns, check_columns, sort_by
 from orderkeep.functions.predicates import sql_predicate
-from orderkeep.plans.metrics import PartitionMetrics
-from orderkeep.plans.planner import RewriteGroup, RewritePlan, group_key, plan
+from orderkeep.plans.metrics import RewriteFigures
+from orderkeep.plans.planner import UnsortedPart, Todo, group_key, plan
 from orderkeep.sources.reader import scan
-from orderkeep.sources.tablelog import DataFile, Snapshot, TableNotFound, commit, open_table, write_files
+from orderkeep.sources.tablelog import DataFile, Snapshot, commit, open_table, write_files
 
 log = logging.getLogger("orderkeep")
 #: Bytes of input for each task of a rewrite, where no file size is asked for.
@@ -46,26 +46,26 @@ def _rows_per_file(rows: int, size: int, target: int | None) -> int:
     return max(1, int(rows * target / size)) if target and size and rows else 0
 
 
-def rewrite(spark: SparkSession, snapshot: Snapshot, groups: Sequence[RewriteGroup], cfg: SortConfig) -> list[DataFile]:
+def rewrite(spark: SparkSession, snapshot: Snapshot, groups: Sequence[UnsortedPart], cfg: SortConfig) -> list[DataFile]:
     """New files with the groups' rows in order; not yet in the table."""
     part = snapshot.restrict([f for g in groups for f in g.files])
     tasks, size = _tasks(part.files, cfg.target_file_size_bytes)
     rows = scan(spark, part, places=False)
-    count = sum(g.estimated_rows for g in groups) or (rows.count() if cfg.target_file_size_bytes else 0)
+    count = sum(g.rows_in for g in groups) or (rows.count() if cfg.target_file_size_bytes else 0)
     ordered = sorted_rows(rows, cfg.sort_columns, cfg.nulls_first, snapshot.partition_columns, tasks)
     return write_files(spark, snapshot.uri, ordered, snapshot.partition_columns, _rows_per_file(count, size, cfg.target_file_size_bytes))
 
 
-def _measured(group: RewriteGroup, new: Sequence[DataFile], ms: int) -> PartitionMetrics:
+def _measured(group: UnsortedPart, new: Sequence[DataFile], ms: int) -> RewriteFigures:
     own = [f for f in new if group.partition is None or f.partition == group.partition]
-    return PartitionMetrics(group_key(group.partition), len(group.files), len(own), group.estimated_bytes, sum(f.size for f in own), ms)
+    return RewriteFigures(group_key(group.partition), len(group.files), len(own), group.estimated_bytes, sum(f.size for f in own), ms)
 
 
-def _publish(spark: SparkSession, snapshot: Snapshot, groups: Sequence[RewriteGroup], cfg: SortConfig) -> list[PartitionMetrics]:
+def _publish(spark: SparkSession, snapshot: Snapshot, groups: Sequence[UnsortedPart], cfg: SortConfig) -> list[RewriteFigures]:
     began = time.monotonic()
     new = rewrite(spark, snapshot, groups, cfg)
     types = {f.name: f.dataType.typeName() for f in snapshot.schema.fields}
-    named = " OR ".join(f"({sql_predicate(g.partition, types)})" for g in groups[:20] if g.partition) or "TRUE"
+    named = " OR ".join(f"({sql_predicate(g.partition, types)})" for g in groups if g.partition) or "TRUE"
     version = commit(spark, snapshot, new, [f for g in groups for f in g.files], "WRITE", {"mode": "Overwrite", "predicate": named}, False)
     ms = int(1000 * (time.monotonic() - began))
     out = [_measured(g, new, ms) for g in groups]
@@ -74,7 +74,7 @@ def _publish(spark: SparkSession, snapshot: Snapshot, groups: Sequence[RewriteGr
     return out
 
 
-def compact_partitions(spark: SparkSession, snapshot: Snapshot, todo: RewritePlan, cfg: SortConfig) -> list[PartitionMetrics]:
+def compact_partitions(spark: SparkSession, snapshot: Snapshot, todo: Todo, cfg: SortConfig) -> list[RewriteFigures]:
     """Rewrite a plan's partitions: by one job and commit, or, if asked for, each by its own, cfg.concurrency at once.
 
     In the second case all run to their end before the first error is raised; what was committed stays."""
@@ -87,7 +87,7 @@ def compact_partitions(spark: SparkSession, snapshot: Snapshot, todo: RewritePla
     return [m for r in runs for m in r.result()]
 
 
-def overwrite_sorted(spark: SparkSession, snapshot: Snapshot, cfg: SortConfig) -> list[PartitionMetrics]:
+def overwrite_sorted(spark: SparkSession, snapshot: Snapshot, cfg: SortConfig) -> list[RewriteFigures]:
     """Rewrite the whole table in key order, in one commit.
 
     Of a partitioned table each range of keys has a file for each partition in it; the table as a whole is in order where
@@ -96,17 +96,19 @@ def overwrite_sorted(spark: SparkSession, snapshot: Snapshot, cfg: SortConfig) -
     check_columns(cfg.sort_columns, snapshot.schema)
     rows = scan(spark, snapshot, places=False)
     tasks, size = _tasks(snapshot.files, cfg.target_file_size_bytes)
-    limit = _rows_per_file(rows.count(), size, cfg.target_file_size_bytes) if cfg.target_file_size_bytes else 0
+    one = [c for c in snapshot.schema.fieldNames() if c not in snapshot.partition_columns][:1]
+    limit = _rows_per_file(scan(spark, snapshot, one, places=False).count(), size, cfg.target_file_size_bytes) if cfg.target_file_size_bytes else 0
     ordered = sorted_rows(rows, cfg.sort_columns, cfg.nulls_first, snapshot.partition_columns, tasks, partitions_first=False)
     new = write_files(spark, snapshot.uri, ordered, snapshot.partition_columns, limit)
     commit(spark, snapshot, new, snapshot.files, "WRITE", {"mode": "Overwrite"}, False)
-    m = PartitionMetrics("*", len(snapshot.files), len(new), size, sum(f.size for f in new), int(1000 * (time.monotonic() - began)))
+    m = RewriteFigures("*", len(snapshot.files), len(new), size, sum(f.size for f in new), int(1000 * (time.monotonic() - began)))
     log.info("rewrote the table: files %d -> %d, bytes %d -> %d, %d ms", m.files_in, m.files_out, m.bytes_in, m.bytes_out, m.duration_ms)
     return [m]
 
 
-def compact(spark: SparkSession, table_uri: str, cfg: SortConfig) -> list[PartitionMetrics]:
-    """Bring a table's partitions, or all of it, into order. A dry run plans only, and forgives a table that isn't there."""
+def compact(spark: SparkSession, table_uri: str, cfg: SortConfig) -> list[RewriteFigures]:
+    """Bring a table's partitions, or all of it, into order. A dry run plans only, and forgives that nothing
+    could be planned, unless columns are missing."""
     if cfg.predicate:
         log.warning("predicate is reserved and not applied: %s", cfg.predicate)
     if cfg.repartition_by_sort_key:
@@ -114,14 +116,25 @@ def compact(spark: SparkSession, table_uri: str, cfg: SortConfig) -> list[Partit
         if cfg.dry_run or not cfg.sort_columns:
             return []
         return overwrite_sorted(spark, open_table(spark, table_uri), cfg)
+    began = time.monotonic()
     try:
         snapshot = open_table(spark, table_uri)
         todo = plan(spark, snapshot, cfg.sort_columns, cfg.nulls_first)
-    except TableNotFound as e:
-        if not cfg.dry_run:
+    except Exception as e:
+        if not cfg.dry_run or isinstance(e, MissingColumns):
             raise
         log.warning("nothing could be planned: %s", e)
         return []
     for g in todo.groups:
         log.info("to be rewritten: %s, %d files, %d bytes", group_key(g.partition), len(g.files), g.estimated_bytes)
-    return [] if cfg.dry_run else compact_partitions(spark, snapshot, todo, cfg)
+    if cfg.dry_run:
+        return []
+    out = compact_partitions(spark, snapshot, todo, cfg)
+    _summary(out, began)
+    return out
+
+
+def _summary(figures: Sequence[RewriteFigures], began: float) -> None:
+    """One line for a whole run."""
+    total = {c: sum(getattr(m, c) for m in figures) for c in ("files_in", "files_out", "bytes_in", "bytes_out")}
+    log.info("rewrote %d partitions: files %d -> %d, bytes %d -> %d, %d ms", len(figures), *total.values(), int(1000 * (time.monotonic() - began)))

@@ -20,6 +20,8 @@ from orderkeep.sources.tablelog import Snapshot, open_table
 
 #: Rows of a file that one window covers.
 CHUNK_ROWS = 1 << 16
+# How violations are told.
+INSIDE, BETWEEN, LEFT_OUT = "monotonicity violation within file: ", ("boundary violation: ", " max > ", " min"), ("... plus ", " more violations")
 #: A report shows so many violations; of more, one less and how many were left out.
 SAMPLE = 20
 
@@ -57,8 +59,8 @@ def boundaries(stats: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 def violations(stats: DataFrame) -> DataFrame:
     """(kind, file, detail): a row for each file out of order inside (kind 0) and for each bad boundary (kind 1)."""
-    inner = stats.filter("inversions > 0").select(F.lit(0).alias("kind"), "file", F.concat(F.lit("monotonicity violation within file: "), "file").alias("detail"))
-    between = boundaries(stats).filter("bad").select(F.lit(1).alias("kind"), "file", F.concat(F.lit("boundary violation: "), "before", F.lit(" max > "), "file", F.lit(" min")).alias("detail"))
+    inner = stats.filter("inversions > 0").select(F.lit(0).alias("kind"), "file", F.concat(F.lit(INSIDE), "file").alias("detail"))
+    between = boundaries(stats).filter("bad").select(F.lit(1).alias("kind"), "file", F.concat(F.lit(BETWEEN[0]), "before", F.lit(BETWEEN[1]), "file", F.lit(BETWEEN[2])).alias("detail"))
     return inner.unionByName(between)
 
 
@@ -68,7 +70,7 @@ def sampled(found: DataFrame, most: int = SAMPLE) -> DataFrame:
     total = found.agg(F.count("*").alias("total"))
     head = found.orderBy("kind", "file", "detail").limit(most)
     numbered = head.select(F.row_number().over(Window.orderBy("kind", "file", "detail")).alias("position"), "detail")
-    text = F.when((F.col("total") > most) & (F.col("position") == most), F.concat(F.lit("... plus "), (F.col("total") - most + 1).cast("string"), F.lit(" more violations"))).otherwise(F.col("detail"))
+    text = F.when((F.col("total") > most) & (F.col("position") == most), F.concat(F.lit(LEFT_OUT[0]), (F.col("total") - most + 1).cast("string"), F.lit(LEFT_OUT[1]))).otherwise(F.col("detail"))
     return numbered.crossJoin(F.broadcast(total)).select(F.col("position").cast("long").alias("position"), text.alias("detail"))  # total is one row
 
 

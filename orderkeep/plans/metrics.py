@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 
 @dataclass
-class PartitionMetrics:
+class RewriteFigures:
     partition: str
     files_in: int
     files_out: int
@@ -19,7 +19,7 @@ class PartitionMetrics:
     duration_ms: int
 
 
-def frame(spark: SparkSession, metrics: Sequence[PartitionMetrics]) -> DataFrame:
+def frame(spark: SparkSession, metrics: Sequence[RewriteFigures]) -> DataFrame:
     return spark.createDataFrame([tuple(asdict(m).values()) for m in metrics], "partition string, files_in long, files_out long, bytes_in long, bytes_out long, duration_ms long")
 
 

@@ -15,16 +15,16 @@ from orderkeep.operators.validator import boundaries, snapshot_stats
 from orderkeep.sources.tablelog import DataFile, Snapshot
 
 log = logging.getLogger("orderkeep")
-NO_PARTITION = "__nopart__"
+WHOLE_TABLE = "(whole table)"
 
 
 @dataclass
-class RewriteGroup:
+class UnsortedPart:
     """partition: sorted (column, value), None for an unpartitioned table."""
 
     partition: tuple[tuple[str, str | None], ...] | None
     files: list[DataFile] = field(default_factory=list)
-    estimated_rows: int = 0
+    rows_in: int = 0
 
     @property
     def input_files(self) -> list[str]:
@@ -36,28 +36,28 @@ class RewriteGroup:
 
 
 @dataclass
-class RewritePlan:
+class Todo:
     table_uri: str
-    groups: list[RewriteGroup] = field(default_factory=list)
+    groups: list[UnsortedPart] = field(default_factory=list)
 
     def frame(self, spark: SparkSession) -> DataFrame:
-        rows = [(group_key(g.partition), g.input_files, g.estimated_rows, g.estimated_bytes) for g in self.groups]
-        return spark.createDataFrame(rows, "partition string, input_files array<string>, estimated_rows long, estimated_bytes long")
+        rows = [(group_key(g.partition), g.input_files, g.rows_in, g.estimated_bytes) for g in self.groups]
+        return spark.createDataFrame(rows, "partition string, input_files array<string>, rows_in long, estimated_bytes long")
 
 
 def group_key(partition: Sequence[tuple[str, str | None]] | None) -> str:
     """A partition as text. NULL, the empty text and the text null differ."""
     if partition is None:
-        return NO_PARTITION
+        return WHOLE_TABLE
     return "/".join(k if v is None else f"{k}={v}" for k, v in partition)
 
 
-def grouped(snapshot: Snapshot) -> dict[str, RewriteGroup]:
+def grouped(snapshot: Snapshot) -> dict[str, UnsortedPart]:
     """The active files by partition, in the order of the partitions' text."""
-    out: dict[str, RewriteGroup] = {}
+    out: dict[str, UnsortedPart] = {}
     for f in snapshot.files:
         part = f.partition if snapshot.partition_columns else None
-        out.setdefault(group_key(part), RewriteGroup(part)).files.append(f)
+        out.setdefault(group_key(part), UnsortedPart(part)).files.append(f)
     return dict(sorted(out.items()))
 
 
@@ -67,11 +67,11 @@ def failing(stats: DataFrame, by: str) -> DataFrame:
     return marked.groupBy(by).agg(F.sum("n").alias("rows"), F.count_if((F.col("inversions") > 0) | F.col("bad")).alias("violations")).filter("violations > 0").select(by, "rows", "violations")
 
 
-def plan(spark: SparkSession, snapshot: Snapshot, keys: Sequence[str], nulls_first: bool = True) -> RewritePlan:
+def plan(spark: SparkSession, snapshot: Snapshot, keys: Sequence[str], nulls_first: bool = True) -> Todo:
     """One job over the keys of all files finds the partitions that aren't in order; the largest come first.
 
-    If the check fails, every partition is taken for unordered."""
-    out = RewritePlan(snapshot.uri)
+    If the check fails on the data, every partition is taken for unordered; a cancelled job is an error."""
+    out = Todo(snapshot.uri)
     if not keys:
         return out
     check_columns(keys, snapshot.schema)
@@ -83,12 +83,14 @@ def plan(spark: SparkSession, snapshot: Snapshot, keys: Sequence[str], nulls_fir
         # a partition's files have the same text for it
         names = {json.dumps(g.files[0].partition): k for k, g in groups.items()} if snapshot.partition_columns else None
         if names is None:
-            stats = stats.withColumn("part", F.lit(NO_PARTITION))
-        bad = {names[r["part"]] if names else NO_PARTITION: r["rows"] for r in failing(stats, "part").collect()}  # a row for each partition at most
+            stats = stats.withColumn("part", F.lit(WHOLE_TABLE))
+        bad = {names[r["part"]] if names else WHOLE_TABLE: r["rows"] for r in failing(stats, "part").collect()}  # a row for each partition at most
     except Exception as e:  # not proven to be in order
-        log.warning("the order of %s could not be checked, all partitions count as unordered: %s", snapshot.uri, e)
+        if "cancelled" in str(e).lower() or spark.sparkContext._jsc.sc().isStopped():
+            raise
+        log.error("the order of %s could not be checked, all partitions count as unordered: %s", snapshot.uri, e)
         bad = dict.fromkeys(groups, 0)
     for k in bad:
-        groups[k].estimated_rows = bad[k]
+        groups[k].rows_in = bad[k]
     out.groups = sorted((groups[k] for k in groups if k in bad), key=lambda g: -g.estimated_bytes)
     return out

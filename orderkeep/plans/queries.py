@@ -6,8 +6,9 @@ give the place that each row got in it as a column.
 
 from __future__ import annotations
 
-import uuid
+import json
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -17,10 +18,10 @@ from orderkeep.functions import predicates
 from orderkeep.functions.keys import key_value
 from orderkeep.operators import rewriter, validator
 from orderkeep.plans.metrics import frame, totals
-from orderkeep.plans.planner import failing, plan
+from orderkeep.plans.planner import Todo, grouped, plan
 from orderkeep.sources import reader, tablelog
 from orderkeep.sources.reader import FILE, ROW
-from orderkeep.session import shared_folder
+from orderkeep.session import own_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -47,7 +48,7 @@ def _placed(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataF
 
 
 def _new_table(spark: SparkSession, df: DataFrame, partition_by: tuple[str, ...] = (), rows_per_file: int = 0) -> tablelog.Snapshot:
-    return tablelog.create(spark, f"{shared_folder(spark).rstrip('/')}/tables/{uuid.uuid4().hex}", df, partition_by, rows_per_file)
+    return tablelog.create(spark, f"{own_folder(spark, 'table')}/t", df, partition_by, rows_per_file)
 
 
 def _virtual(df: DataFrame, file: str, row: str) -> DataFrame:
@@ -171,7 +172,7 @@ def partition_sort_position(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = reader.scan(spark, done, ["o_orderstatus", *keys])
     placed = reader.positions(rows, ["o_orderstatus", *keys])
     begins = placed.groupBy("o_orderstatus").agg(F.min("position").alias("begin"))
-    return placed.join(F.broadcast(begins), "o_orderstatus").select("o_orderstatus", "o_orderkey", (F.col("position") - F.col("begin") + 1).alias("position"))
+    return placed.join(begins, "o_orderstatus").select("o_orderstatus", "o_orderkey", (F.col("position") - F.col("begin") + 1).alias("position"))
 
 
 def _with_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -222,22 +223,27 @@ def idempotent_compact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(len(todo.groups), found.boundary_violations, tablelog.open_table(spark, done.uri).version)], "groups long, violations long, version long")
 
 
-@query()
+@query("""
+SELECT t.target, (SELECT count(*) FROM orders)::BIGINT AS rows, 0::BIGINT AS violations, TRUE AS fits, TRUE AS several
+FROM (VALUES (NULL::BIGINT), (200000), (50000)) t(target)""")
 def size_split_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files, rows and violations by the size asked for; file sizes depend on the writer, so no SQL."""
+    """Rewrites by the size asked for: all files lie below one and a half times of it, and are several where it is small."""
     out = []
-    for target in (None, 400_000, 100_000):
+    for target in (None, 200_000, 50_000):
         done = _rewritten(spark, _read(spark, sf_dir, "orders"), ("o_totalprice", "o_orderkey"), target_file_size_bytes=target)
         found = validator.validate_snapshot(spark, done, ["o_totalprice", "o_orderkey"])
-        out.append((target, len(done.files), found.checked_files, found.boundary_violations, reader.scan(spark, done, ["o_orderkey"], places=False).count()))
-    return spark.createDataFrame(out, "target long, files long, checked_files long, violations long, rows long")
+        sizes = [f.size for f in done.files]
+        fits = target is None or max(sizes) <= 1.5 * target
+        several = target is None or sum(sizes) <= target or len(sizes) >= sum(sizes) / (1.5 * target)
+        out.append((target, reader.scan(spark, done, ["o_orderkey"], places=False).count(), found.boundary_violations, fits, several))
+    return spark.createDataFrame(out, "target long, rows long, violations long, fits boolean, several boolean")
 
 
 @query("SELECT 3::BIGINT AS partitions, 3::BIGINT AS files_in, (SELECT count(*) FROM orders)::BIGINT AS rows")
 def rewrite_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals of a run's metrics."""
     made = _new_table(spark, _read(spark, sf_dir, "orders").coalesce(1), ("o_orderstatus",))
-    got = rewriter.compact(spark, made.uri, SortConfig(("o_clerk" if "o_clerk" in made.schema.fieldNames() else "o_totalprice", "o_orderkey"), commit_per_partition=True))
+    got = rewriter.compact(spark, made.uri, SortConfig(("o_totalprice", "o_orderkey"), commit_per_partition=True))
     rows = reader.scan(spark, tablelog.open_table(spark, made.uri), ["o_orderkey"], places=False).agg(F.count("*").alias("rows"))
     return totals(frame(spark, got)).select("partitions", "files_in").crossJoin(F.broadcast(rows))  # one row each
 
@@ -252,7 +258,7 @@ def ordered_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = rows.select(F.col("o_orderkey").alias("n"), F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("i"))
     sizes = told.groupBy("p").agg(F.count("*").alias("c"))
     begins = sizes.select("p", (F.sum("c").over(Window.orderBy("p")) - F.col("c")).alias("begin"))
-    return told.join(F.broadcast(begins), "p").select("n", (F.col("begin") + F.col("i").bitwiseAND(F.lit((1 << 33) - 1)) + 1).alias("m"))
+    return told.join(begins, "p").select("n", (F.col("begin") + F.col("i").bitwiseAND(F.lit((1 << 33) - 1)) + 1).alias("m"))
 
 
 # --- planning -----------------------------------------------------------------------------------------------------
@@ -265,26 +271,28 @@ b AS (SELECT *, lag(mx) OVER (PARTITION BY part ORDER BY mn, mx, file) AS pmx FR
 g AS (SELECT part, sum(n)::BIGINT AS rows, count(*) FILTER (WHERE inv > 0 OR pmx > mn)::BIGINT AS violations FROM b GROUP BY part HAVING count(*) FILTER (WHERE inv > 0 OR pmx > mn) > 0)"""
 
 
-def _groups(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(virtual files' rows, file stats) of orders by priority; one priority is in order."""
+def _prioritised(spark: SparkSession, sf_dir: str) -> tablelog.Snapshot:
+    """orders as a table by priority of four files each, in the order of order keys; one priority is in the order of k."""
     key = F.when(F.col("o_orderpriority").startswith("1"), F.col("o_orderkey") + 1_000_000_000 * (F.col("o_custkey") % 4)).otherwise(F.col("o_custkey"))
-    rows = _virtual(_read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.col("o_orderpriority").alias("part"), key.alias("k")), "o_custkey % 4", "o_orderkey")
-    return rows, validator.file_stats(rows, key_value(["k"]), by=["part"], chunk_rows=1 << 30)
+    rows = _read(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("part"), (F.col("o_custkey") % 4).cast("int").alias("file"), key.alias("k"), F.col("o_orderkey").alias("i"))
+    dealt = rows.repartitionById(4, F.col("file")).sortWithinPartitions("part", "i")
+    return _new_table(spark, dealt.drop("file"), ("part",))
 
 
-@query(_PLAN_SQL + "SELECT part, rows, violations, row_number() OVER (ORDER BY rows DESC, part) AS place FROM g")
+@query(_PLAN_SQL + "SELECT part, rows, (SELECT count(DISTINCT file) FROM r WHERE r.part = g.part)::BIGINT AS files FROM g")
 def plan_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The partitions that aren't in order, the largest first."""
-    bad = failing(_groups(spark, sf_dir)[1], "part")
-    return bad.select("*", F.row_number().over(Window.orderBy(F.desc("rows"), "part")).alias("place"))
+    """The partitions that a compaction of the table would rewrite, with their rows and files."""
+    made = _prioritised(spark, sf_dir)
+    todo = plan(spark, made, ["k"]).frame(spark)
+    return todo.select(F.substring_index("partition", "part=", -1).alias("part"), F.col("rows_in").alias("rows"), F.size("input_files").cast("long").alias("files"))
 
 
-@query(_PLAN_SQL + "SELECT DISTINCT r.part, r.file FROM r WHERE r.part IN (SELECT part FROM g)")
+@query(_PLAN_SQL + "SELECT r.part, r.i FROM r WHERE r.part IN (SELECT part FROM g)")
 def semi_join_rewrite_set(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The files of those partitions."""
-    rows, stats = _groups(spark, sf_dir)
-    files = stats.select("part", "file")
-    return files.join(failing(stats, "part").select("part"), "part", "left_semi")
+    """The rows of the files that it would rewrite."""
+    made = _prioritised(spark, sf_dir)
+    files = [f for g in plan(spark, made, ["k"]).groups for f in g.files]
+    return reader.scan(spark, made.restrict(files), ["part", "i"], places=False)
 
 
 _ACTIONS_SQL = """
@@ -292,21 +300,38 @@ WITH a AS (SELECT o_custkey % 500 AS path, o_orderkey AS version, CASE WHEN o_or
 live AS (SELECT path, version, size FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY version DESC) AS n FROM a) WHERE n = 1 AND kind = 'add')"""
 
 
-def _actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _logged(spark: SparkSession, sf_dir: str) -> tablelog.Snapshot:
+    """A table whose log adds and removes made-up files, an action for each order, in 40 versions; as the engine opens it."""
     df = _read(spark, sf_dir, "orders")
-    return df.select((F.col("o_custkey") % 500).alias("path"), F.col("o_orderkey").alias("version"), F.when(F.col("o_orderkey") % 3 == 0, "remove").otherwise("add").alias("kind"), F.round(F.col("o_totalprice") * 100).cast("long").alias("size"))
+    rows = df.select((F.col("o_custkey") % 500).alias("path"), F.col("o_orderkey").alias("version"), F.round(F.col("o_totalprice") * 100).cast("long").alias("size")).orderBy("version").collect()  # the query's own input, written as a log
+    store = tablelog.Store(spark, f"{own_folder(spark, 'table')}/t")
+    schema = {"type": "struct", "fields": [{"name": n, "type": "long", "nullable": True, "metadata": {}} for n in ("part", "version", "x")]}
+    head = [{"protocol": {"minReaderVersion": 1, "minWriterVersion": 2}}, {"metaData": {"id": "m", "format": {"provider": "parquet", "options": {}}, "schemaString": json.dumps(schema), "partitionColumns": ["part", "version"], "configuration": {}}}]
+    step = -(-len(rows) // 40)
+    for k in range(40):
+        actions = [*head] if k == 0 else []
+        for r in rows[k * step : (k + 1) * step]:
+            values = {"part": str(r.path % 10), "version": str(r.version)}
+            actions.append({"remove": {"path": str(r.path), "dataChange": True}} if r.version % 3 == 0 else {"add": {"path": str(r.path), "partitionValues": values, "size": r["size"], "dataChange": True}})
+        store.put_if_absent(f"{tablelog.LOG}/{k:020d}.json", "".join(json.dumps(a) + "\n" for a in actions))
+    return tablelog.open_table(spark, store.uri)
 
 
 @query(_ACTIONS_SQL + "SELECT * FROM live")
 def log_snapshot_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tablelog.replay(_actions(spark, sf_dir)).select("path", "version", "size")
+    """The files that a log of adds and removes leaves."""
+    adds = tablelog.adds_frame(spark, _logged(spark, sf_dir))
+    return adds.select(F.col("path").cast("long").alias("path"), F.col("partition")["version"].cast("long").alias("version"), "size")
 
 
 @query(_ACTIONS_SQL + "SELECT path % 10 AS part, list(path ORDER BY path)::VARCHAR AS files, sum(size)::BIGINT AS bytes FROM live GROUP BY path % 10")
 def files_by_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Active files grouped by partition, with their bytes."""
-    live = tablelog.replay(_actions(spark, sf_dir)).withColumn("part", F.col("path") % 10)
-    return live.groupBy("part").agg(F.array_sort(F.collect_list("path")).cast("string").alias("files"), F.sum("size").alias("bytes"))
+    opened = _logged(spark, sf_dir)
+    files = tuple(replace(f, partition=tuple(x for x in f.partition if x[0] == "part")) for f in opened.files)
+    groups = grouped(replace(opened, partition_columns=("part",), files=files))
+    told = Todo(opened.uri, list(groups.values())).frame(spark)
+    return told.select(F.substring_index("partition", "=", -1).cast("long").alias("part"), F.array_sort(F.transform("input_files", lambda x: x.cast("long"))).cast("string").alias("files"), F.col("estimated_bytes").alias("bytes"))
 
 
 # --- predicates ---------------------------------------------------------------------------------------------------
@@ -317,25 +342,26 @@ SELECT 'int' AS kind, count(*)::BIGINT AS n FROM customer WHERE c_nationkey = 7
 SELECT 'string', count(*) FROM orders WHERE o_orderstatus = 'F' UNION ALL
 SELECT 'long', count(*) FROM orders WHERE o_custkey = 42 UNION ALL
 SELECT 'double', count(*) FROM lineitem WHERE l_quantity = 10 AND l_returnflag = 'R' UNION ALL
-SELECT 'none', count(*) FROM orders UNION ALL
-SELECT 'no value', 0""")
+SELECT 'none', count(*) FROM orders""")
 def partition_filter_typed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows that partition predicates of each type pick."""
+    """Rows that the text of partition predicates picks, for each type."""
 
     def count(kind: str, name: str, *values: tuple[str, str]) -> DataFrame:
         df = _read(spark, sf_dir, name)
-        return df.filter(predicates.column_predicate(values, df.schema)).agg(F.lit(kind).alias("kind"), F.count("*").alias("n"))
+        text = predicates.sql_predicate(values, {f.name: f.dataType.typeName() for f in df.schema.fields})
+        return df.filter(F.expr(text.replace('"', "`"))).agg(F.lit(kind).alias("kind"), F.count("*").alias("n"))  # Spark quotes names by `
 
     out = count("int", "customer", ("c_nationkey", "7"))
-    for more in (count("string", "orders", ("o_orderstatus", "F")), count("long", "orders", ("o_custkey", "42")), count("double", "lineitem", ("l_quantity", "10"), ("l_returnflag", "R")), count("none", "orders"), count("no value", "customer", ("c_nationkey", "x7"))):
+    for more in (count("string", "orders", ("o_orderstatus", "F")), count("long", "orders", ("o_custkey", "42")), count("double", "lineitem", ("l_quantity", "10"), ("l_returnflag", "R")), count("none", "orders")):
         out = out.unionByName(more)
     return out
 
 
 @query("SELECT c_custkey FROM customer WHERE c_custkey % 7 = 0")
 def partition_filter_null(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = _with_nulls(spark, sf_dir)
-    return df.filter(predicates.column_predicate([("seg", None)], df.schema)).select("c_custkey")
+    """The rows of a table's NULL partition."""
+    made = _new_table(spark, _with_nulls(spark, sf_dir), ("seg",))
+    return reader.read_partition(spark, made, (("seg", None),)).select("c_custkey")
 
 
 _RENDER_SQL = """
@@ -354,4 +380,6 @@ def literal_render(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = _read(spark, sf_dir, "part")
     odd = spark.createDataFrame([(x,) for x in ("o'x", '"7"', "TRUE", "False", "1.50", "-3", "1.2.3", "")], "raw string")
     raw = part.select(F.col("p_brand").alias("raw")).union(part.select(F.col("p_size").cast("string"))).union(odd).distinct()
-    return raw.select("raw", *(predicates.literal_column(F.col("raw"), k).alias(f"as_{k}") for k in ("int", "decimal", "bool", "float", "text")))
+    kinds = {"int": "integer", "decimal": "decimal(10,2)", "bool": "boolean", "float": "double", "text": "string"}
+    rows = [(r.raw, *(predicates.literal(r.raw, k) for k in kinds.values())) for r in raw.collect()]  # brands and sizes: some dozens
+    return spark.createDataFrame(rows, ", ".join(f"{n} string" for n in ("raw", *(f"as_{k}" for k in kinds))))

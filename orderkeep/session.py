@@ -34,9 +34,31 @@ def shared_folder(spark: SparkSession) -> str:
         spark.conf.set("spark.checkpoint.dir", named)
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(named)
+        _until_exit(spark, spark.sparkContext._jsc.sc().getCheckpointDir().get())
     return named
 
 
+def _until_exit(spark: SparkSession, path: str) -> None:
+    """Delete a folder that exists when the driver ends."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+
+
+def own_folder(spark: SparkSession, kind: str) -> str:
+    """A new folder in the shared one for what a query writes on its way; it goes when the driver ends, if not before."""
+    path = f"{shared_folder(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(at)
+    _until_exit(spark, path)
+    return path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder and what is in it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage by a reliable checkpoint in the shared folder; the rows are computed once and survive lost executors."""
     shared_folder(df.sparkSession)
@@ -46,6 +68,6 @@ def cut(df: DataFrame) -> DataFrame:
 def stored(df: DataFrame) -> DataFrame:
     """df, written as Parquet into the shared folder and read again: like cut(), but columns can be read one by one."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/stored-{uuid.uuid4().hex}"
+    path = f"{own_folder(spark, 'stored')}/rows"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from orderkeep.functions.keys import column, key_value
+from orderkeep.functions.predicates import column_predicate
 from orderkeep.sources.tablelog import Snapshot
 
 #: A row's file (a path) and its number in the file.
@@ -70,6 +71,15 @@ def scan(spark: SparkSession, snapshot: Snapshot, columns: Sequence[str] | None
     return joined.select(*map(column, wanted), *([FILE, ROW] if places else []))
 
 
+def read_partition(spark: SparkSession, snapshot: Snapshot, partition: Sequence[tuple[str, str | None]], columns: Sequence[str] | None = None) -> DataFrame:
+    """The rows of one partition, by its (column, value) pairs as the log has them: its files are found exactly, and rows
+    are held against the values as the columns' types read them."""
+    wanted = tuple(sorted(partition))
+    part = snapshot.restrict(f for f in snapshot.files if f.partition == wanted)
+    rows = scan(spark, part, places=False).filter(column_predicate(wanted, snapshot.schema))
+    return rows if columns is None else rows.select(*map(column, columns))
+
+
 def stats_by_file(rows: DataFrame, keys: Sequence[str], nulls_first: bool = True) -> DataFrame:
     """(file, n, mn, mx): of rows with FILE and ROW each file's number of rows and least and greatest key."""
     key = key_value(keys, nulls_first)

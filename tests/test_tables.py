@@ -71,7 +71,7 @@ def test_partitions_by_int_and_bool(spark, make):
     uri = make(rows, "id long, flag boolean, ts string, val long", ["id", "flag"])
     t = SortOptimizer(uri, spark)
     (group,) = plan(spark, tablelog.open_table(spark, uri), ["id", "ts"]).groups
-    assert group.partition == (("flag", "false"), ("id", "2")) and group.estimated_rows == 2
+    assert group.partition == (("flag", "false"), ("id", "2")) and group.rows_in == 2
     t.compact(["id", "ts"], concurrency=2)
     after = tablelog.open_table(spark, uri)
     assert not plan(spark, after, ["id", "ts"]).groups and len(after.files) == 4
@@ -219,6 +219,11 @@ def test_command_line(spark, make, capsys, tmp_path):
     code, text = run("--validate-only", "--nulls", "last")
     assert code == 0 and text.out.startswith("Validated files: 1 | boundary_violations: 0")
     assert main(["--table", f"{tmp_path}/none", "--dry-run"]) == 0
+    for level in ("off", "trace", "WARN"):
+        assert run("--dry-run", "--log-level", level)[0] == 0
+    code, text = run("--dry-run", "--log-level", "loud")
+    assert code == 1 and "no log level 'loud'" in text.err
+    assert run("--commit-per-partition", "--concurrency", "2")[0] == 0
 
 
 def test_literals():
@@ -230,12 +235,57 @@ def test_literals():
     assert P.sql_predicate([("a", "1"), ("b", None)], {"a": "long"}) == '"a" = 1 AND "b" IS NULL'
 
 
-def test_literal_columns(spark):
-    texts = ["42", "-7", "x", "1.5", "1e3", "TRUE", "false", "nan", "12.5.1", "o'x", '"US"', "", "1d"]
-    df = spark.createDataFrame([(t,) for t in texts], "raw string")
-    for kind, name in (("int", "integer"), ("float", "double"), ("bool", "boolean"), ("decimal", "decimal(5,1)"), ("text", "string")):
-        got = [(r.raw, r.lit) for r in df.select("raw", P.literal_column(F.col("raw"), kind).alias("lit")).collect()]
-        assert got == [(t, P.literal(t, name)) for t in texts]
+def test_read_partition(spark, make):
+    rows = [(1, "null"), (10, None), (2, "a b/c"), (3, None), (4, "x")]
+    snapshot = tablelog.open_table(spark, make(rows, "v int, p string", ["p"]))
+    for value in ("null", None, "a b/c", "x", "no such"):
+        got = reader.read_partition(spark, snapshot, (("p", value),), ["v"]).collect()
+        assert sorted(r.v for r in got) == sorted(v for v, p in rows if p == value)
+
+
+def test_a_commit_names_all_partitions_that_it_rewrites(spark, make):
+    uri = make([(i % 30, -i) for i in range(60)], "p int, value int", ["p"])
+    orderkeep.compact(uri, ["value"], spark=spark)
+    info = json.loads(open(f"{uri}/_delta_log/{1:020d}.json").readline())["commitInfo"]
+    assert info["operationParameters"]["predicate"].count('"p" = ') == 30
+
+
+def test_run_summary_and_concurrency(spark, make, caplog):
+    uri = make([(i % 3, -i) for i in range(30)], "p int, value int", ["p"])
+    with caplog.at_level("INFO", "orderkeep"):
+        SortOptimizer(uri, spark).compact(["value"], concurrency=2, commit_per_partition=True)
+    assert tablelog.open_table(spark, uri).version == 3
+    assert [m for m in caplog.messages if m.startswith("rewrote 3 partitions: files 3 -> 3, bytes ")]
+
+
+def test_dry_run_forgives_what_keeps_it_from_planning(spark, make):
+    uri = make([(2,), (1,)], "v int")
+    with open(f"{uri}/_delta_log/{1:020d}.json", "w") as f:
+        f.write("no json")
+    assert orderkeep.compact(uri, ["v"], dry_run=True, spark=spark) == []
+    with pytest.raises(RuntimeError):
+        orderkeep.compact(uri, ["v"], spark=spark)
+
+
+@pytest.mark.parametrize("target", [30_000, 100_000])
+def test_file_sizes_follow_the_target(spark, make, target):
+    uri = make([(i * 7919 % 100_003, f"{i * 104729 % 999_983:x}") for i in range(60_000)], "v long, s string")
+    orderkeep.compact(uri, ["v"], target_file_size_bytes=target, spark=spark)
+    sizes = [f.size for f in tablelog.open_table(spark, uri).files]
+    assert max(sizes) <= 1.5 * target and len(sizes) <= 3 * sum(sizes) / target
+
+
+def test_commit_on_another_store(spark, tmp_path):
+    """By a scheme that isn't the local one a version is renamed into place, whole, and never replaced."""
+    spark._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.own.link./in", f"file://{tmp_path}")
+    store = tablelog.Store(spark, "viewfs://own/in/t")
+    assert not store.local
+    assert store.put_if_absent("_delta_log/a.json", "one") and not store.put_if_absent("_delta_log/a.json", "two")
+    assert store.read("_delta_log/a.json") == "one"
+    assert [n for n in os.listdir(f"{tmp_path}/t/_delta_log") if n.endswith(".tmp")] == []
+    made = tablelog.create(spark, "viewfs://own/in/u", spark.createDataFrame([(2,), (1,)], "v int").coalesce(1))
+    orderkeep.compact(made.uri, ["v"], spark=spark)
+    assert values(spark, made.uri, ["v"], "v") == [1, 2] and tablelog.open_table(spark, made.uri).version == 1
 
 
 def test_column_predicates(spark):

@@ -24,10 +24,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def prepare(spark: SparkSession) -> None:
-    """Make workers able to import the package and keep their batches small."""
+    """Make workers able to import the package; keep their batches small unless the session says how large they are."""
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    for name, own in (("maxRecordsPerBatch", str(BATCH_ROWS)), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, own)
 
 
 def held(key: Any, make: Callable[[], Any]) -> Any:

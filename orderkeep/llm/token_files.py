@@ -28,7 +28,6 @@ from __future__ import annotations
 import hashlib
 import json
 import os
-import uuid
 import zlib
 from collections.abc import Iterator
 from itertools import pairwise
@@ -41,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orderkeep.llm.common import NULL_ID, Cuts, held, map_arrow, parts_of, prepare, table, texts
-from orderkeep.session import cut, shared_folder
+from orderkeep.session import cut, own_folder
 
 MAGIC = b"OKTOKEN2"
 #: An entry of an index.
@@ -278,6 +277,6 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write all documents' ids into the shared folder and read them back."""
     import public_tokenizers
 
-    folder = f"{shared_folder(spark).rstrip('/')}/tokens-{uuid.uuid4().hex}"
+    folder = own_folder(spark, "tokens")
     write(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
     return digests(spark, folder).withColumnRenamed("id", "doc_id")

@@ -30,7 +30,6 @@ import base64
 import gzip
 import hashlib
 import re
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -38,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orderkeep.llm.common import map_arrow, prepare, table
-from orderkeep.session import cut, shared_folder
+from orderkeep.session import cut, own_folder
 
 SEGMENT_BYTES = 16 << 10
 CHUNK_BYTES = 4 << 10
@@ -244,7 +243,7 @@ def resolve(found: DataFrame) -> DataFrame:
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write all pages as archives in the shared folder and read them back."""
-    folder = f"{shared_folder(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
+    folder = f"{own_folder(spark, 'warc')}/w"
     write(table(spark, sf_dir, "pages"), folder)
     return resolve(read(spark, folder))
 

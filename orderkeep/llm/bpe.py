@@ -25,13 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from orderkeep.llm.common import held, map_arrow, prepare, texts
-
-#: Entries of a worker's memo of split pieces and of compatible pairs; a full memo starts anew.
-MEMO_ENTRIES = 500_000
-#: Longer pieces aren't kept in the memo.
-MEMO_PIECE_CHARS = 64
-
+from orderkeep.llm.common import Memo, held, map_arrow, prepare, texts
 
 def read_ranks(content: bytes) -> dict[bytes, int]:
     """Token bytes to rank, of a rank file's lines (base64, space, rank)."""
@@ -49,8 +43,8 @@ class Encoder:
         for t, r in ranks.items():
             self.automaton.add_word(t.decode("latin-1"), (r, len(t)))
         self.automaton.make_automaton()
-        self.fits: dict[int, bool] = {}
-        self.pieces = _Pieces(self)
+        self.fits = Memo(self._fit)
+        self.pieces = Memo(lambda piece: np.array(self.encode_piece(piece.encode("utf-8")), "<u4").tobytes())
 
     def merged(self, piece: bytes) -> list[int]:
         """The ids of a short piece by the merges themselves: always the pair of lowest rank, the leftmost first."""
@@ -62,16 +56,14 @@ class Encoder:
             parts[best : best + 2] = [parts[best] + parts[best + 1]]
         return [self.ranks[p] for p in parts]
 
+    def _fit(self, key: int) -> bool:
+        left, right = (key >> 32) - 1, key & 0xFFFFFFFF
+        pair = [right] if left < 0 else [left, right]
+        return self.merged(b"".join(self.token[t] for t in pair)) == pair
+
     def compatible(self, left: int, right: int) -> bool:
         """Whether the two tokens stay as they are when their bytes are merged together; left -1: whether right does alone."""
-        key = (left + 1) << 32 | right
-        fit = self.fits.get(key)
-        if fit is None:
-            if len(self.fits) >= MEMO_ENTRIES:
-                self.fits.clear()
-            pair = [right] if left < 0 else [left, right]
-            fit = self.fits[key] = self.merged(b"".join(self.token[t] for t in pair)) == pair
-        return fit
+        return self.fits[(left + 1) << 32 | right]
 
     def encode_piece(self, piece: bytes) -> list[int]:
         whole = self.ranks.get(piece)
@@ -112,22 +104,6 @@ class Encoder:
         return b"".join(map(self.token.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-class _Pieces(dict):
-    """Piece of text to its packed ids, filled as asked for."""
-
-    def __init__(self, encoder: Encoder):
-        super().__init__()
-        self.encoder = encoder
-
-    def __missing__(self, piece: str) -> bytes:
-        ids = np.array(self.encoder.encode_piece(piece.encode("utf-8")), "<u4").tobytes()
-        if len(piece) <= MEMO_PIECE_CHARS:
-            if len(self) >= MEMO_ENTRIES:
-                self.clear()
-            self[piece] = ids
-        return ids
-
-
 class Vocabulary:
     """A rank file as the driver read it, sent once to each executor (its size is that of the file, some MB at most)."""
 
@@ -155,7 +131,7 @@ def encode(df: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_c
         ids = [code(t) for t in texts(batch)]
         return pa.RecordBatch.from_arrays([batch.column("id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=["id", "n_tokens", "ids"])
 
-    return map_arrow(rows, run, T.StructType([rows.schema["id"], T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())])).withColumnRenamed("id", id_col)
+    return map_arrow(rows, run, T.StructType([rows.schema["id"], T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())]), "bpe").withColumnRenamed("id", id_col)
 
 
 def decode(df: DataFrame, vocabulary: Vocabulary, ids_col: str = "ids", to: str = "decoded") -> DataFrame:
@@ -173,7 +149,7 @@ def decode(df: DataFrame, vocabulary: Vocabulary, ids_col: str = "ids", to: str
             out.append(b"".join(map(token, array("I", held_ids.to_pybytes()) if held_ids is not None else ())))
         return pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*keep, to])
 
-    return map_arrow(rows, run, schema)
+    return map_arrow(rows, run, schema, "bpe")
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

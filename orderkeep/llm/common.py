@@ -16,6 +16,9 @@ from orderkeep.session import ship
 #: Rows and bytes of an Arrow batch sent to a Python worker; a longer text is a batch of its own.
 BATCH_ROWS, BATCH_BYTES = 1000, "8m"
 
+#: Entries of a worker's memo (twice as many with the old one's), and code points of the longest piece in it.
+MEMO_ENTRIES, MEMO_CHARS = 180_000, 64
+
 _HELD: dict[Any, Any] = {}
 
 
@@ -41,6 +44,26 @@ def held(key: Any, make: Callable[[], Any]) -> Any:
     return _HELD[key]
 
 
+class Memo(dict):
+    """Piece of text to what make gives for it, filled as asked for. A memo of MEMO_ENTRIES becomes the old one, of which what
+    is asked for again is taken over, so that frequent pieces stay. Pieces of over MEMO_CHARS aren't kept."""
+
+    def __init__(self, make: Callable[[Any], Any], entries: int | None = None):
+        super().__init__()
+        self.make, self.old, self.entries = make, {}, entries or MEMO_ENTRIES
+
+    def __missing__(self, piece: Any) -> Any:
+        out = self.old.get(piece)
+        if out is None:
+            out = self.make(piece)
+        if not isinstance(piece, str) or len(piece) <= MEMO_CHARS:
+            if len(self) >= self.entries:
+                self.old = dict(self)
+                self.clear()
+            self[piece] = out
+        return out
+
+
 def trim() -> None:
     """Give memory that nothing uses back to the system; a worker waits for its next task with what it holds."""
     pa.default_memory_pool().release_unused()
@@ -62,10 +85,13 @@ def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
     return alone
 
 
-def map_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch] | pa.RecordBatch], schema: str) -> DataFrame:
-    """mapInArrow with a function of one batch that returns one batch or several."""
+def map_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch] | pa.RecordBatch], schema: str, keeps: str = "") -> DataFrame:
+    """mapInArrow with a function of one batch that returns one batch or several. Of what the worker holds, things whose keys
+    don't begin with `keeps` go first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key in [k for k in _HELD if k[0] != keeps]:
+            del _HELD[key]
         for batch in batches:
             out = f(batch)
             if isinstance(out, pa.RecordBatch):

@@ -356,7 +356,7 @@ def scan(df: DataFrame, templates: Sequence[tuple[str, str]] | None = None, phra
         )
 
     schema = f"id {rows.schema['id'].dataType.simpleString()}, n_words long, phrase_labels array<string>, phrase_words array<long>, cover map<string,double>, spans array<struct<label:string,first:long,after:long,cover:double>>"
-    return map_arrow(rows, run, schema).withColumnRenamed("id", id_col)
+    return map_arrow(rows, run, schema, "licences").withColumnRenamed("id", id_col)
 
 
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,8 @@ Offsets are prefix sums over BUCKETS seeded buckets of a source and within them,
 sources' table (a row for each) is ordered in one task; it is joined by broadcast while it has MAX_SMALL rows at most.
 
 Defined results: a null text has no words; a null source is one source, the last; sources of no words have target 0.
-Rows that agree in id and size are ordered arbitrarily but take the same places. An empty table gives an empty result.
+Rows that agree in id and size come in the order of a hash of their texts; repeated rows take places of their own. A very
+long text is as many blocks as it takes. An empty table gives an empty result.
 Other columns of the input are passed on where asked for, in a struct of their own.
 """
 
@@ -23,14 +24,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from orderkeep.llm.common import table
-from orderkeep.session import cut
+from orderkeep.session import cut, stored
 
 WEIGHTS = (5, 2, 1)
 SHARE_PERCENT = 150
 MAX_PASSES = 2
 SHARDS = 8
-#: Words of a block; more where the corpus has over 2**30 blocks of that size.
-BLOCK_WORDS = 32
+#: Words of a block; more where the corpus has over MAX_BLOCKS of that size.
+BLOCK_WORDS, MAX_BLOCKS = 32, 1 << 30
 BUCKETS = 1024
 SEED = "mix"
 MAX_SMALL = 20_000
@@ -82,12 +83,12 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     """(id_col, size, source_size, target, taken, pieces), a row for each of df's. pieces: array of (pass, shard,
     first_word, words), what the mix takes of the document; taken: their words. keep: columns to pass on, in struct `row`."""
     key = seeded(id_col)
-    rows = df.select(F.col(id_col).alias("__id"), F.col(source_col).cast("string").alias("source"), F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long").alias("size"), key.alias("__h"), *([F.struct(*(F.col(f"`{c}`") for c in keep)).alias("row")] if keep else []))
+    rows = df.select(F.col(id_col).alias("__id"), F.col(source_col).cast("string").alias("source"), F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long").alias("size"), key.alias("__h"), *([F.struct(*(F.col(f"`{c}`") for c in keep)).alias("row"), F.xxhash64(text_col).alias("__t")] if keep else []))
     rows = rows.withColumn("__b", F.pmod("__h", F.lit(BUCKETS)))
     sums = cut(rows.groupBy("source", "__b").agg(F.sum("size").alias("words")))
     sources = cut(targets(sums.groupBy("source").agg(F.sum("words").alias("source_size"))))
     total = sources.agg(F.sum("source_size"), F.sum("target")).first()
-    block = max(block_words, (total[0] or 0) >> 30)
+    block = max(block_words, (total[0] or 0) // MAX_BLOCKS)
     quota = quotas(sources, round((total[1] or 0) / block), shards)
     prime = F.element_at(F.array(*map(F.lit, PRIMES)), F.pmod("__p", F.lit(len(PRIMES))).cast("int") + 1)
     blocks = F.ceil(F.col("source_size") / block)
@@ -97,7 +98,7 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     first = Window.partitionBy("sid").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     begins = sums.join(few.select("sid", F.col("source").alias("s")), F.col("source").eqNullSafe(F.col("s"))).select("sid", "__b", F.coalesce(F.sum("words").over(first), F.lit(0)).alias("begin"))
     here = rows.join(few.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s", "source")
-    within = Window.partitionBy("sid", "__b").orderBy("__h", "__id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("sid", "__b").orderBy("__h", "__id", "size", *(["__t"] if keep else [])).rowsBetween(Window.unboundedPreceding, -1)
     here = here.withColumn("__in", F.coalesce(F.sum("size").over(within), F.lit(0))).join(begins, ["sid", "__b"])
     here = here.withColumn("__off", F.col("begin") + F.col("__in"))
     end = F.col("__off") + F.col("size")
@@ -154,10 +155,32 @@ SELECT doc_id, size, source_size, target, sum(part)::BIGINT AS taken FROM s GROU
 """
 
 
+def copies(mixed: DataFrame, id_col: str, source_col: str) -> DataFrame:
+    """Rows of mix() (written, so that they are computed once) with `copies`: how often the whole document comes.
+
+    That is taken / size, rounded down or up: of a source those documents are rounded up whose remainder plus a seeded draw
+    is largest, as many as bring the source's words to what the mix takes of it. The sums that tell how many are those of
+    BUCKETS classes of a source; of the class where the words are reached a seeded share is rounded up, so a source's words
+    are off by part of such a class, a thousandth of the source, or by one document where classes hold one."""
+    drawn = lambda name: (F.pmod(seeded(F.lit(name), id_col), F.lit(4096))) / 4096
+    # the quotient in doubles, rounded to binary places, so that sums and comparisons are the same anywhere
+    times = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") * 65536) / 65536).otherwise(0.0)
+    rows = mixed.withColumn("__times", times).withColumn("__base", F.floor("__times"))
+    rows = rows.withColumn("__class", F.when(F.col("__times") > F.col("__base"), F.floor((F.col("__times") - F.col("__base") + drawn("copies")) * (BUCKETS // 2))))
+    sums = cut(rows.groupBy(F.col(source_col).alias("__s"), "__class").agg(F.sum(F.when(F.col("__class").isNotNull(), F.col("size")).otherwise(0)).alias("words"), F.sum(F.col("taken") - F.col("__base") * F.col("size")).alias("rest")))
+    upper = Window.partitionBy("__s").orderBy(F.desc_nulls_last("__class")).rowsBetween(Window.unboundedPreceding, -1)
+    reached = sums.select("__s", "__class", "words", F.sum("rest").over(Window.partitionBy("__s")).alias("rest"), F.coalesce(F.sum("words").over(upper), F.lit(0)).alias("before")).filter("__class IS NOT NULL AND before < rest AND before + words >= rest")
+    last = cut(reached.select("__s", F.col("__class").alias("__last"), ((F.col("rest") - F.col("before")) / F.col("words")).alias("__share")))
+    got = rows.join(_small(last), F.col(source_col).eqNullSafe(F.col("__s")), "left")
+    more = F.when(F.col("__class") > F.col("__last"), 1).when((F.col("__class") == F.col("__last")) & (drawn("more") < F.col("__share")), 1).otherwise(0)
+    return got.withColumn("copies", (F.col("__base") + more).cast("long")).drop("__s", "__last", "__share", "__times", "__base", "__class")
+
+
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes its words, the remainder rounded by a seeded draw."""
-    mixed = mix(docs, keep=docs.columns)
-    draw = (seeded(F.lit("copies"), F.col("doc_id")) % 4096) / 4096
-    copies = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + draw)).otherwise(0)
-    taken = mixed.select("row", copies.alias("copies")).filter("copies > 0")
+    """Each document as often as the mix takes its words, so that each source's words come near its target.
+
+    Documents come whole: blocks that cut them, and shards, tell how much is taken only. Those without words go. Rows that
+    share an id share its draws; extra columns are passed on."""
+    mixed = stored(mix(docs, keep=docs.columns).select(F.col("row.doc_id").alias("__id"), F.col("row.source").alias("__source"), "row", "size", "taken"))
+    taken = copies(mixed, "__id", "__source").filter("copies > 0").select("row", "copies")
     return taken.select("row", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select(*(F.col("row")[c].alias(c) for c in docs.columns))

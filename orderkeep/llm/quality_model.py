@@ -240,7 +240,7 @@ def score(df: DataFrame, model: Additive, text_col: str = "text", to: str = "sco
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Score all documents by a model of the labels that aren't held out."""
+    """Score all documents by a model of the labels that aren't held out. A null id has no remainder: it counts as held out."""
     docs = table(spark, sf_dir, "documents")
     model = train(docs, table(spark, sf_dir, "labels"))
     scored = score(docs.select("doc_id", "text"), model)

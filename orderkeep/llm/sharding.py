@@ -16,8 +16,13 @@ Ranks come from prefix sums over BUCKETS seeded buckets and row numbers within t
 meets in a task; those of requests from prefix sums over CLASSES. The driver sees per-shard counts and fewer than
 2 * SHARDS groups.
 
+op3_sharding links equal texts, told by their 64-bit hash (two of n different texts share one with a chance near n * n /
+2**65; they would be put together, which breaks no law). With such groups a label spreads within one round: a group is a
+star, there is nothing to pass on to neighbours of neighbours; shard() takes any other grouping as well.
+
 Defined results: a null text is empty, of size 1. Repeated rows are documents of one group. A null id is a seed like any
-other. An empty table gives an empty result. Other columns are ignored.
+other. A very long text counts as one document, whatever its bytes (the law is of rows). An empty table gives an empty
+result. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -39,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderkeep.llm.common import NULL_ID, Cuts, held, map_arrow, parts_of, prepare, table, texts
+from orderkeep.llm.common import NULL_ID, Cuts, Memo, held, map_arrow, parts_of, prepare, table, texts
 from orderkeep.session import cut, own_folder
 
 MAGIC = b"OKTOKEN2"
@@ -48,8 +48,6 @@ ENTRY = np.dtype([("end", "<u8"), ("id", "<i8")])
 NO_ID = 1 << 63
 #: Bytes of text of a part.
 PART_TEXT = 64 << 20
-MEMO_ENTRIES = 500_000
-MEMO_PIECE_CHARS = 64
 #: Ids that a reader hands on at once.
 READ_IDS = 1 << 20
 
@@ -77,10 +75,10 @@ class Tokens:
         self.find = regex.compile(pattern).findall
         added = [regex.escape(t["content"]) for t in told.get("added_tokens") or () if t["content"]]
         self.added = regex.compile("|".join(added)).search if added else lambda text: None
-        self.pieces = _Pieces(self)
+        self.letters, self.pieces = byte_letters(), Memo(self.piece)
 
     def piece(self, text: str) -> bytes:
-        letters = text.encode().decode("latin-1").translate(self.pieces.letters)
+        letters = text.encode().decode("latin-1").translate(self.letters)
         return np.array([t.id for t in self.tokenizer.model.tokenize(letters)], self.type).tobytes()
 
     def encode(self, text: str) -> bytes:
@@ -97,20 +95,6 @@ class Tokens:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.type).tobytes()
 
 
-class _Pieces(dict):
-    def __init__(self, tokens: Tokens):
-        super().__init__()
-        self.tokens, self.letters = tokens, byte_letters()
-
-    def __missing__(self, piece: str) -> bytes:
-        ids = self.tokens.piece(piece)
-        if len(piece) <= MEMO_PIECE_CHARS:
-            if len(self) >= MEMO_ENTRIES:
-                self.clear()
-            self[piece] = ids
-        return ids
-
-
 def _folder(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri if "://" in uri else f"file://{os.path.abspath(uri)}")
 
@@ -215,7 +199,7 @@ def write(df: DataFrame, folder: str, tokenizer_path: str, pattern: str, end_id:
         docs, ids = write_part(fs, f"{top}/{name}", kind, (x for many in ((first,), each) for x in many))
         yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (task.partitionId(), name, docs, ids)], names=["part", "name", "docs", "ids"])
 
-    dealt = map_arrow(rows, encode, "part int, k long, t long, id long, ids binary").repartitionById(len(cuts), F.col("part")).sortWithinPartitions("k", "t", "ids")
+    dealt = map_arrow(rows, encode, "part int, k long, t long, id long, ids binary", "tokens").repartitionById(len(cuts), F.col("part")).sortWithinPartitions("k", "t", "ids")
     done = cut(dealt.select("id", "ids").mapInArrow(put, "part long, name string, docs long, ids long")).orderBy("part").collect()
     base = np.concatenate(([0], np.cumsum([r.ids for r in done], dtype=np.int64))).tolist()
     manifest = [{"name": r.name, "docs": r.docs, "ids": r.ids, "base": b} for r, b in zip(done, base, strict=False)]

@@ -1,10 +1,13 @@
+import hashlib
 import random
 
+import numpy as np
 import public_tokenizers as P
 import pytest
 import tiktoken
 
 from orderkeep.llm import bpe
+from orderkeep.llm.common import MEMO_CHARS, Memo
 
 PATH = P.path("byte_bpe_multi_50k.tiktoken")
 
@@ -34,3 +37,24 @@ def test_table(spark):
     rows = bpe.decode(bpe.encode(df, v), v).collect()
     assert sorted((r.doc_id is None, r.doc_id or 0, r.n_tokens > 0, bytes(r.decoded).decode()) for r in rows) == sorted([(False, 1, True, "hello world"), (False, 2, False, ""), (False, 2, False, ""), (True, 0, False, ""), (False, 3, True, "z" * 200_000)])
     assert bpe.encode(df.limit(0), v).count() == 0
+
+
+def test_query_against_tiktoken(spark, ranks):
+    sf = "/root/testdata/sf0.001"
+    ref = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    want = []
+    for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect():
+        ids = np.array(ref.encode_ordinary(r.text or ""), "<u4")
+        want.append((r.doc_id, len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256((r.text or "").encode()).hexdigest()))
+    got = bpe.op1_bpe(spark, sf).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_memo_keeps_what_is_asked_for_again():
+    made = []
+    memo = Memo(lambda x: made.append(x) or x.upper(), 3)
+    for x in "abcabdaebfag":
+        assert memo[x] == x.upper()
+    assert made.count("a") == made.count("b") == 1 and len(memo) <= 3
+    long = "x" * (MEMO_CHARS + 1)
+    assert memo[long] == long.upper() and long not in memo

@@ -63,3 +63,17 @@ def test_mix(spark):
     docs = df.select("doc_id", "text", "source")
     staged = M.stage(spark, docs, "")
     assert staged.columns == docs.columns and 0 < staged.count() <= 2 * len(rows)
+
+
+def test_blocks_grow_with_the_corpus(spark, monkeypatch):
+    """Beyond MAX_BLOCKS blocks of the asked size blocks are larger; targets are met within some of them all the same."""
+    monkeypatch.setattr(M, "MAX_BLOCKS", 50)
+    rng = random.Random(4)
+    rows = [(i, "w " * rng.randint(0, 200), rng.choice("aab")) for i in range(500)]
+    got = M.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    total = sum(len(t.split()) for _, t, _ in rows)
+    by = {}
+    for r, (_, _, s) in zip(sorted(got, key=lambda r: r.doc_id), rows, strict=True):
+        assert r.taken <= 2 * r.size
+        by.setdefault(s, [0, r.target])[0] += r.taken
+    assert total // 50 > M.BLOCK_WORDS and all(abs(n - t) <= 3 * (total // 50) for n, t in by.values())

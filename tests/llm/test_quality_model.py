@@ -1,4 +1,5 @@
 import random
+import zlib
 
 import numpy as np
 
@@ -43,3 +44,16 @@ def test_query(spark, tmp_path):
     assert {round(r.score, 3) for r in Q.score(docs, Q.train(docs, empty)).collect()} == {0.5}
     assert Q.stage(spark, docs, str(tmp_path)).columns == docs.columns
     assert Q.score(docs.limit(0), Q.train(docs.limit(0), empty)).count() == 0
+
+
+def test_query_on_held_out_labels(spark):
+    """Labels that the model has not seen: ranked and told apart; rows, remainders and predictions as the query says."""
+    sf = "/root/testdata/sf0.1"
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    got = Q.op9_quality(spark, sf).collect()
+    assert len(got) == spark.read.parquet(f"{sf}/documents.parquet").count()
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in got)
+    seen = [(r.score, labels[r.doc_id], r.predicted) for r in got if r.held_out and r.doc_id in labels]
+    good, bad = [s for s, y, _ in seen if y], [s for s, y, _ in seen if not y]
+    assert len(seen) > 1000 and sum(p == y for _, y, p in seen) >= 0.98 * len(seen)
+    assert sum((g > b) + 0.5 * (g == b) for g in good for b in bad) >= 0.99 * len(good) * len(bad)

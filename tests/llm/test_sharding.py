@@ -64,3 +64,19 @@ def test_all_documents_have_copies(spark, sizes):
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert S.shard(df, F.xxhash64("text")).count() == 0
+
+
+def test_query(spark):
+    """op3's laws over a whole table: counts at most one apart, gapless slots, equal texts apart only where they must be."""
+    sf = "/root/testdata/sf0.01"
+    docs = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    got = S.op3_sharding(spark, sf).collect()
+    assert {r.doc_id: (r.size, r.text_crc32) for r in got} == {i: (len(t) + 1, zlib.crc32(t)) for i, t in docs.items()} and len(got) == len(docs)
+    slots, groups = defaultdict(list), defaultdict(set)
+    for r in got:
+        assert (r.law, r.grown_shard) == ("rows", None)
+        slots[r.shard].append(r.slot)
+        groups[docs[r.doc_id]].add(r.shard)
+    assert sorted(slots) == list(range(8)) and all(sorted(v) == list(range(len(v))) for v in slots.values())
+    assert max(map(len, slots.values())) - min(map(len, slots.values())) <= 1
+    assert sum(len(s) > 1 for s in groups.values()) < 8

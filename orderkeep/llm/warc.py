@@ -30,6 +30,7 @@ import base64
 import gzip
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -41,6 +42,7 @@ from orderkeep.session import cut, own_folder
 
 SEGMENT_BYTES = 16 << 10
 CHUNK_BYTES = 4 << 10
+READ_BYTES = 2 << 10
 #: Records of an archive file at most; keeps a file's size, and so a reader's memory, bounded.
 FILE_RECORDS = 1000
 #: Up to so many repeated payloads are broadcast; more are joined by a shuffle.
@@ -150,6 +152,24 @@ def write(pages: DataFrame, folder: str, least_bytes: int = 0, segment: int = SE
     written.write.option("encoding", "ISO-8859-1").option("lineSep", RECORD_END.decode("latin-1")).option("maxRecordsPerFile", FILE_RECORDS).text(folder)
 
 
+def members(content: bytes) -> bytes:
+    """What a file of many gzip members holds. Members are read a little at a time, so that none copies all that follow it."""
+    out, at, one = [], 0, zlib.decompressobj(31)
+    while at < len(content):
+        if content.startswith(RECORD_END, at):
+            out.append(b"\r\n\r\n")
+            at += len(RECORD_END)
+            continue
+        while not one.eof:
+            part = content[at : at + READ_BYTES]
+            if not part:
+                raise ValueError("an archive is cut off")
+            out.append(one.decompress(part))
+            at += len(part) - len(one.unused_data)
+        one = zlib.decompressobj(31)
+    return b"".join(out)
+
+
 def parse(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """(fields by lower-case name, block) for each record of an archive."""
     at = 0
@@ -196,7 +216,7 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for content in batch.column("content"):
             held, size = [], 0
-            for fields, block in parse(gzip.decompress(content.as_py())):
+            for fields, block in parse(members(content.as_py())):
                 number, total = fields.get("warc-segment-number"), fields.get("warc-segment-total-length")
                 row = [fields["warc-record-id"], fields["warc-type"], fields.get("warc-refers-to"), fields.get("warc-payload-digest"), fields.get("warc-segment-origin-id"), number and int(number), total and int(total), block]
                 held.append(row)

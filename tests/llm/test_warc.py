@@ -1,4 +1,5 @@
 import base64
+import gzip
 import hashlib
 import random
 import zlib
@@ -26,6 +27,15 @@ def test_framing():
             assert W.payload_of(segments[0][2]) == p
 
 
+def test_members():
+    rng = random.Random(3)
+    parts = [rng.randbytes(rng.choice([0, 1, 500, 50_000])) for _ in range(60)]
+    whole = b"".join(gzip.compress(p) + W.RECORD_END for p in parts)
+    assert W.members(whole) == b"".join(p + b"\r\n\r\n" for p in parts) == gzip.decompress(whole) and W.members(b"") == b""
+    with pytest.raises(ValueError):
+        W.members(gzip.compress(rng.randbytes(9000))[:-3])
+
+
 def expected(rows, least=0):
     best = {}
     for page, _, html in rows:

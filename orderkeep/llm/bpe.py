@@ -20,12 +20,11 @@ from array import array
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from orderkeep.llm.common import Memo, held, map_arrow, prepare, texts
+from orderkeep.llm.common import Memo, Pieces, held, map_arrow, prepare, texts
 
 def read_ranks(content: bytes) -> dict[bytes, int]:
     """Token bytes to rank, of a rank file's lines (base64, space, rank)."""
@@ -38,13 +37,13 @@ class Encoder:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
         self.token = {r: t for t, r in ranks.items()}
-        self.find = regex.compile(pattern).findall
+        self.find = Pieces(pattern)
         self.automaton = ahocorasick.Automaton()
         for t, r in ranks.items():
             self.automaton.add_word(t.decode("latin-1"), (r, len(t)))
         self.automaton.make_automaton()
         self.fits = Memo(self._fit)
-        self.pieces = Memo(lambda piece: np.array(self.encode_piece(piece.encode("utf-8")), "<u4").tobytes())
+        self.pieces = Memo(lambda piece: array("I", self.encode_piece(piece.encode("utf-8"))).tobytes())
 
     def merged(self, piece: bytes) -> list[int]:
         """The ids of a short piece by the merges themselves: always the pair of lowest rank, the leftmost first."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 
@@ -17,7 +18,7 @@ from orderkeep.session import ship
 BATCH_ROWS, BATCH_BYTES = 1000, "8m"
 
 #: Entries of a worker's memo (twice as many with the old one's), and code points of the longest piece in it.
-MEMO_ENTRIES, MEMO_CHARS = 180_000, 64
+MEMO_ENTRIES, MEMO_CHARS = 250_000, 64
 
 _HELD: dict[Any, Any] = {}
 
@@ -44,6 +45,35 @@ def held(key: Any, make: Callable[[], Any]) -> Any:
     return _HELD[key]
 
 
+class Pieces:
+    """A pattern's matches in a text, as the regex module finds them.
+
+    Texts of common characters only are matched by a twin of the pattern, for the faster module re, whose classes are
+    written out: they are taken from what regex says of each of these characters. A pattern with other classes has none."""
+
+    #: Code points: Latin, and general punctuation.
+    COMMON = (*range(0x250), *range(0x2000, 0x2070))
+
+    def __init__(self, pattern: str):
+        import regex
+
+        self.any = regex.compile(pattern).findall
+        self.few = None
+        own = {c: "".join(re.escape(chr(x)) for x in self.COMMON if regex.match(c, chr(x))) for c in (r"\p{L}", r"\p{N}", r"\s")}
+        twin, plain = pattern.replace(r"\S", r"[^\s]"), pattern.replace(r"\S", "")
+        for c in own:
+            plain = plain.replace(c, "")
+        if not re.search(r"\\|\[(?!\^?\])", plain):  # nothing but these classes, in brackets or not
+            twin = re.sub(r"\[[^]]*\]|\\p\{[LN]\}|\\s", lambda m: m[0] if m[0][0] == "[" else f"[{m[0]}]", twin)
+            for c, items in own.items():
+                twin = twin.replace(c, items)
+            self.few = re.compile(twin).findall
+        self.rare = re.compile("[^" + re.escape(chr(0)) + "-\u024f\u2000-\u206f]").search
+
+    def __call__(self, text: str) -> list[str]:
+        return self.any(text) if self.few is None or self.rare(text) else self.few(text)
+
+
 class Memo(dict):
     """Piece of text to what make gives for it, filled as asked for. A memo of MEMO_ENTRIES becomes the old one, of which what
     is asked for again is taken over, so that frequent pieces stay. Pieces of over MEMO_CHARS aren't kept."""

@@ -29,6 +29,7 @@ import hashlib
 import json
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 from itertools import pairwise
 
@@ -39,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderkeep.llm.common import NULL_ID, Cuts, Memo, held, map_arrow, parts_of, prepare, table, texts
+from orderkeep.llm.common import NULL_ID, Cuts, Memo, Pieces, held, map_arrow, parts_of, prepare, table, texts
 from orderkeep.session import cut, own_folder
 
 MAGIC = b"OKTOKEN2"
@@ -48,6 +49,8 @@ ENTRY = np.dtype([("end", "<u8"), ("id", "<i8")])
 NO_ID = 1 << 63
 #: Bytes of text of a part.
 PART_TEXT = 64 << 20
+#: Pieces in a worker's memo; they are small.
+MEMO_ENTRIES = 400_000
 #: Ids that a reader hands on at once.
 READ_IDS = 1 << 20
 
@@ -72,14 +75,14 @@ class Tokens:
         told = json.loads(content)
         split = told.get("pre_tokenizer") or {}
         self.by_piece = told.get("normalizer") is None and split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space")
-        self.find = regex.compile(pattern).findall
+        self.find = Pieces(pattern)
         added = [regex.escape(t["content"]) for t in told.get("added_tokens") or () if t["content"]]
         self.added = regex.compile("|".join(added)).search if added else lambda text: None
-        self.letters, self.pieces = byte_letters(), Memo(self.piece)
+        self.letters, self.pieces = byte_letters(), Memo(self.piece, MEMO_ENTRIES)
 
     def piece(self, text: str) -> bytes:
         letters = text.encode().decode("latin-1").translate(self.letters)
-        return np.array([t.id for t in self.tokenizer.model.tokenize(letters)], self.type).tobytes()
+        return array("H" if self.type.itemsize == 2 else "I", [t.id for t in self.tokenizer.model.tokenize(letters)]).tobytes()
 
     def encode(self, text: str) -> bytes:
         """The ids of a text without added tokens; by pieces, their strings are ordinary text."""

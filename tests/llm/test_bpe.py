@@ -7,7 +7,7 @@ import pytest
 import tiktoken
 
 from orderkeep.llm import bpe
-from orderkeep.llm.common import MEMO_CHARS, Memo
+from orderkeep.llm.common import MEMO_CHARS, Memo, Pieces
 
 PATH = P.path("byte_bpe_multi_50k.tiktoken")
 
@@ -50,6 +50,17 @@ def test_query_against_tiktoken(spark, ranks):
     assert sorted(map(tuple, got)) == sorted(want)
 
 
+def test_pieces_by_both_modules():
+    """Texts of common characters give what the regex module gives; a pattern with other classes is left to it."""
+    find, rng = Pieces(P.PATTERN), random.Random(6)
+    common = [chr(c) for c in Pieces.COMMON]
+    assert find.few is not None and Pieces(r"\p{Lu}+|\w+|.").few is None and Pieces(r"[a-z]+|\s").few is None
+    for n in range(6000):
+        text = "".join(rng.choice(common if n % 3 else "ab cD 1²\n\t'sll\x1c\x85\xa0\u2003\u2019") for _ in range(rng.randint(0, 40)))
+        assert not find.rare(text) and find(text) == find.any(text), repr(text)
+    assert find("漢字 x²") == find.any("漢字 x²") and find.rare("漢")
+
+
 def test_memo_keeps_what_is_asked_for_again():
     made = []
     memo = Memo(lambda x: made.append(x) or x.upper(), 3)

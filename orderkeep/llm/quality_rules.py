@@ -44,7 +44,9 @@ MAX_REPEAT_PERCENT = 20
 COVER = 0.75
 MIN_ROWS = 50
 DAMP_WORDS, DAMP_LINES = 100, 5
-STEPS_PER_UNIT = 256
+STEPS_PER_UNIT = 128
+#: Bins of a squared distance for each factor of e.
+BINS = 16
 #: For each statistic the deviation that one without spread in a group is given.
 SCALE = (0.03, 0.15, 0.4, 0.22)
 #: The chance that a row of a normal group is rejected.
@@ -189,11 +191,15 @@ def starts(cells: DataFrame) -> DataFrame:
 
 def concentrate(cells: DataFrame, state: DataFrame) -> DataFrame:
     """One concentration step of each chain (__pool, __start): estimates from the nearest COVER share of its pool's rows."""
-    near = _join(cells, state, "__pool").withColumn("__d2", _distance([F.col(c) for c in C]))
-    order = Window.partitionBy("__pool", "__start").orderBy("__d2", *C).rowsBetween(Window.unboundedPreceding, -1)  # a pool's cells: bounded by the lattice
-    whole = Window.partitionBy("__pool", "__start")
+    near = _join(cells, state, "__pool").withColumn("__d2", _distance([F.col(c) for c in C])).withColumn("__bin", F.floor(BINS * F.log(F.col("__d2") + 1e-9)))
+    # rows by bins of the distance, which spread a large pool; then by distance in each bin
+    chain, upto = ["__pool", "__start"], Window.unboundedPreceding
+    bins = near.groupBy(*chain, "__bin").agg(F.sum("__n").alias("m"))
+    over = Window.partitionBy(*chain)
+    bins = bins.select(*chain, "__bin", (F.ceil(COVER * F.sum("m").over(over)) - F.coalesce(F.sum("m").over(over.orderBy("__bin").rowsBetween(upto, -1)), F.lit(0))).alias("__room"))
+    order = Window.partitionBy(*chain, "__bin").orderBy("__d2", *C).rowsBetween(upto, -1)
     before = F.coalesce(F.sum("__n").over(order), F.lit(0))
-    taken = near.withColumn("__w", F.greatest(F.least(F.col("__n"), F.ceil(COVER * F.sum("__n").over(whole)) - before), F.lit(0)))
+    taken = near.join(bins, [*chain, "__bin"]).withColumn("__w", F.greatest(F.least(F.col("__n"), F.col("__room") - before), F.lit(0)))
     return _estimate(taken.filter("__w > 0"), ["__pool", "__start"], F.col("__w"))
 
 

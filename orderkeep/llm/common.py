@@ -18,7 +18,7 @@ from orderkeep.session import ship
 BATCH_ROWS, BATCH_BYTES = 1000, "8m"
 
 #: Entries of a worker's memo (twice as many with the old one's), and code points of the longest piece in it.
-MEMO_ENTRIES, MEMO_CHARS = 250_000, 64
+MEMO_ENTRIES, MEMO_CHARS = 150_000, 64
 
 _HELD: dict[Any, Any] = {}
 

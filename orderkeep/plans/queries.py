@@ -225,16 +225,16 @@ def idempotent_compact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 SELECT t.target, (SELECT count(*) FROM orders)::BIGINT AS rows, 0::BIGINT AS violations, TRUE AS fits, TRUE AS several
-FROM (VALUES (NULL::BIGINT), (200000), (50000)) t(target)""")
+FROM (VALUES (0::BIGINT), (200000), (50000)) t(target)""")
 def size_split_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rewrites by the size asked for: all files lie below one and a half times of it, and are several where it is small."""
     out = []
-    for target in (None, 200_000, 50_000):
+    for target in (0, 200_000, 50_000):
         done = _rewritten(spark, _read(spark, sf_dir, "orders"), ("o_totalprice", "o_orderkey"), target_file_size_bytes=target)
         found = validator.validate_snapshot(spark, done, ["o_totalprice", "o_orderkey"])
         sizes = [f.size for f in done.files]
-        fits = target is None or max(sizes) <= 1.5 * target
-        several = target is None or sum(sizes) <= target or len(sizes) >= sum(sizes) / (1.5 * target)
+        fits = not target or max(sizes) <= 1.5 * target
+        several = not target or sum(sizes) <= target or len(sizes) >= sum(sizes) / (1.5 * target)
         out.append((target, reader.scan(spark, done, ["o_orderkey"], places=False).count(), found.boundary_violations, fits, several))
     return spark.createDataFrame(out, "target long, rows long, violations long, fits boolean, several boolean")
 

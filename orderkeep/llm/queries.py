@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from orderkeep.llm import parts
 from orderkeep.llm.bpe import op1_bpe
 from orderkeep.llm.fingerprints import op2_fingerprints
 from orderkeep.llm.licenses import op10_licenses
@@ -19,8 +20,8 @@ from orderkeep.llm.warc import OP5_SQL, op5_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op2_fingerprints": op2_fingerprints, "op3_sharding": op3_sharding, "op4_mixing": op4_mixing, "op5_warc": op5_warc, "op6_ngram_join": op6_ngram_join, "op7_token_files": op7_token_files, "op8_rules": op8_rules, "op9_quality": op9_quality, "op10_licenses": op10_licenses}
+    return {"op1_bpe": op1_bpe, "op2_fingerprints": op2_fingerprints, "op3_sharding": op3_sharding, "op4_mixing": op4_mixing, "op5_warc": op5_warc, "op6_ngram_join": op6_ngram_join, "op7_token_files": op7_token_files, "op8_rules": op8_rules, "op9_quality": op9_quality, "op10_licenses": op10_licenses, **parts.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mixing": OP4_SQL, "op5_warc": OP5_SQL, "op6_ngram_join": OP6_SQL, "op8_rules": OP8_SQL}
+    return {"op4_mixing": OP4_SQL, "op5_warc": OP5_SQL, "op6_ngram_join": OP6_SQL, "op8_rules": OP8_SQL, **parts.SQL}

@@ -208,6 +208,31 @@ def test_checkpoint(spark, make):
     assert values(spark, uri, ["v"], "v") == [1, 2]
 
 
+def test_checkpoint_of_many_partitions(spark, tmp_path):
+    """A checkpoint in two files with partition values, tombstones and an application, and versions after it."""
+    log, uri = f"{tmp_path}/t/_delta_log", f"{tmp_path}/t"
+    os.makedirs(log)
+    shape = json.dumps({"type": "struct", "fields": [{"name": c, "type": "string", "nullable": True, "metadata": {}} for c in ("a", "p")]})
+    schema = "protocol struct<minReaderVersion:int>, metaData struct<schemaString:string,partitionColumns:array<string>>, add struct<path:string,partitionValues:map<string,string>,size:long,stats:string>, remove struct<path:string>, txn struct<appId:string,version:long>"
+    head = [((1,), None, None, None, None), (None, (shape, ["p"]), None, None, None), (None, None, None, ("gone",), None), (None, None, None, None, ("app", 7))]
+    adds = [(None, None, (f"f{i}", {"p": [None, "", "null", "x"][i % 4]}, i, "{}"), None, None) for i in range(40)]
+    for k, rows in enumerate((head + adds[:10], adds[10:])):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/c{k}")
+        part = next(f for f in os.listdir(f"{tmp_path}/c{k}") if f.endswith(".parquet"))
+        os.rename(f"{tmp_path}/c{k}/{part}", f"{log}/{5:020d}.checkpoint.{k + 1:010d}.{2:010d}.parquet")
+    later = [{"remove": {"path": "f3"}}, {"add": {"path": "f40", "partitionValues": {"p": "x"}, "size": 40}}, {"txn": {"appId": "app", "version": 8}}]
+    with open(f"{log}/{6:020d}.json", "w") as f:
+        f.write("\n".join(map(json.dumps, later)))
+    got = tablelog.open_table(spark, uri)
+    assert got.version == 6 and got.applications == {"app": 8} and got.partition_columns == ("p",)
+    assert {f.path: (f.size, f.partition) for f in got.files} == {f"f{i}": (i, (("p", [None, None, "null", "x"][i % 4] if i < 40 else "x"),)) for i in range(41) if i != 3}
+    assert len({id(f.partition) for f in got.files}) == 3
+    assert tablelog.open_table(spark, uri, 5).applications == {"app": 7}
+    os.rename(f"{log}/{6:020d}.json", f"{log}/{7:020d}.json")
+    with pytest.raises(ValueError, match="version 6 is missing"):
+        tablelog.open_table(spark, uri)
+
+
 def test_command_line(spark, make, capsys, tmp_path):
     uri = make(UNSORTED, SCHEMA)
     run = lambda *a: (main(["--table", uri, "--sort-columns", "objectId,dateTime", *a]), capsys.readouterr())

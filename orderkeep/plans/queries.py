@@ -22,6 +22,7 @@ from orderkeep.plans.planner import Todo, grouped, plan
 from orderkeep.sources import reader, tablelog
 from orderkeep.sources.reader import FILE, ROW
 from orderkeep.session import own_folder
+from orderkeep.session import remove as remove_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -302,19 +303,21 @@ live AS (SELECT path, version, size FROM (SELECT *, row_number() OVER (PARTITION
 
 def _logged(spark: SparkSession, sf_dir: str) -> tablelog.Snapshot:
     """A table whose log adds and removes made-up files, an action for each order, in 40 versions; as the engine opens it."""
-    df = _read(spark, sf_dir, "orders")
-    rows = df.select((F.col("o_custkey") % 500).alias("path"), F.col("o_orderkey").alias("version"), F.round(F.col("o_totalprice") * 100).cast("long").alias("size")).orderBy("version").collect()  # the query's own input, written as a log
+    path, version = (F.col("o_custkey") % 500).cast("string").alias("path"), F.col("o_orderkey")
+    values = F.create_map(F.lit("part"), (F.col("o_custkey") % 500 % 10).cast("string"), F.lit("version"), version.cast("string")).alias("partitionValues")
+    add = F.struct(F.struct(path, values, F.round(F.col("o_totalprice") * 100).cast("long").alias("size"), F.lit(True).alias("dataChange")).alias("add"))
+    remove = F.struct(F.struct(path, F.lit(True).alias("dataChange")).alias("remove"))
+    orders = _read(spark, sf_dir, "orders").repartitionByRange(40, "o_orderkey").sortWithinPartitions("o_orderkey")
     store = tablelog.Store(spark, f"{own_folder(spark, 'table')}/t")
+    orders.select(F.when(version % 3 == 0, F.to_json(remove)).otherwise(F.to_json(add)).alias("value")).write.text(f"{store.uri}/written")
     schema = {"type": "struct", "fields": [{"name": n, "type": "long", "nullable": True, "metadata": {}} for n in ("part", "version", "x")]}
     head = [{"protocol": {"minReaderVersion": 1, "minWriterVersion": 2}}, {"metaData": {"id": "m", "format": {"provider": "parquet", "options": {}}, "schemaString": json.dumps(schema), "partitionColumns": ["part", "version"], "configuration": {}}}]
-    step = -(-len(rows) // 40)
-    for k in range(40):
-        actions = [*head] if k == 0 else []
-        for r in rows[k * step : (k + 1) * step]:
-            values = {"part": str(r.path % 10), "version": str(r.version)}
-            actions.append({"remove": {"path": str(r.path), "dataChange": True}} if r.version % 3 == 0 else {"add": {"path": str(r.path), "partitionValues": values, "size": r["size"], "dataChange": True}})
-        store.put_if_absent(f"{tablelog.LOG}/{k:020d}.json", "".join(json.dumps(a) + "\n" for a in actions))
-    return tablelog.open_table(spark, store.uri)
+    store.put_if_absent(f"{tablelog.LOG}/{0:020d}.json", "".join(json.dumps(a) + "\n" for a in head))
+    for k, name in enumerate((n for n in store.names("written") if n.startswith("part-")), 1):  # Spark's names follow the ranges
+        store.move_if_absent(f"written/{name}", f"{tablelog.LOG}/{k:020d}.json")
+    opened = tablelog.open_table(spark, store.uri)
+    remove_folder(spark, store.uri)  # its files are made up: nothing is read from there any more
+    return opened
 
 
 @query(_ACTIONS_SQL + "SELECT * FROM live")

@@ -63,7 +63,7 @@ def test_a_long_log_is_replayed_by_a_job(spark, tmp_path, monkeypatch, to_driver
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
-@pytest.mark.parametrize("name, job", [("files_by_partition", True)])
+@pytest.mark.parametrize("name, job", [("log_snapshot_replay", True), ("log_snapshot_replay", False), ("files_by_partition", True)])
 def test_a_log_is_not_gathered_in_the_driver(spark, monkeypatch, to_driver, name, job):
     if job:
         monkeypatch.setattr(tablelog, "DRIVER_LOG", 0)

@@ -25,7 +25,7 @@ from orderkeep.sources.tablelog import DataFile, Snapshot, commit, open_table, w
 
 log = logging.getLogger("orderkeep")
 #: Bytes of input for each task of a rewrite, where no file size is asked for.
-TASK_BYTES = 128 << 20
+TASK_BYTES = 32 << 20
 
 
 def sorted_rows(rows: DataFrame, keys: Sequence[str], nulls_first: bool, partition_columns: Sequence[str], tasks: int, partitions_first: bool = True) -> DataFrame:
@@ -36,10 +36,11 @@ def sorted_rows(rows: DataFrame, keys: Sequence[str], nulls_first: bool, partiti
     return rows.repartitionByRange(max(1, tasks), *(within if partitions_first else keys_only)).sortWithinPartitions(*within)
 
 
-def _tasks(files: Sequence[DataFile], target: int | None) -> tuple[int, int]:
-    """(tasks, bytes in)."""
+def _tasks(spark: SparkSession, files: Sequence[DataFile], target: int | None) -> tuple[int, int]:
+    """(tasks, bytes in). Where files are small, a task writes many of them, one after the other, cut by their rows."""
     size = sum(f.size for f in files)
-    return max(1, -(-size // (target or TASK_BYTES))), size
+    whole = -(-size // TASK_BYTES)
+    return max(1, min(-(-size // target), max(whole, spark.sparkContext.defaultParallelism)) if target else whole), size
 
 
 def _rows_per_file(rows: int, size: int, target: int | None) -> int:
@@ -49,7 +50,7 @@ def _rows_per_file(rows: int, size: int, target: int | None) -> int:
 def rewrite(spark: SparkSession, snapshot: Snapshot, groups: Sequence[UnsortedPart], cfg: SortConfig) -> list[DataFile]:
     """New files with the groups' rows in order; not yet in the table."""
     part = snapshot.restrict([f for g in groups for f in g.files])
-    tasks, size = _tasks(part.files, cfg.target_file_size_bytes)
+    tasks, size = _tasks(spark, part.files, cfg.target_file_size_bytes)
     rows = scan(spark, part, places=False)
     count = sum(g.rows_in for g in groups) or (rows.count() if cfg.target_file_size_bytes else 0)
     ordered = sorted_rows(rows, cfg.sort_columns, cfg.nulls_first, snapshot.partition_columns, tasks)
@@ -95,7 +96,7 @@ def overwrite_sorted(spark: SparkSession, snapshot: Snapshot, cfg: SortConfig) -
     began = time.monotonic()
     check_columns(cfg.sort_columns, snapshot.schema)
     rows = scan(spark, snapshot, places=False)
-    tasks, size = _tasks(snapshot.files, cfg.target_file_size_bytes)
+    tasks, size = _tasks(spark, snapshot.files, cfg.target_file_size_bytes)
     one = [c for c in snapshot.schema.fieldNames() if c not in snapshot.partition_columns][:1]
     limit = _rows_per_file(scan(spark, snapshot, one, places=False).count(), size, cfg.target_file_size_bytes) if cfg.target_file_size_bytes else 0
     ordered = sorted_rows(rows, cfg.sort_columns, cfg.nulls_first, snapshot.partition_columns, tasks, partitions_first=False)

@@ -6,8 +6,10 @@ import os
 import pytest
 from pyspark.sql import DataFrame
 
+import orderkeep
+from orderkeep.operators import rewriter
 from orderkeep.plans import queries
-from orderkeep.sources import tablelog
+from orderkeep.sources import reader, tablelog
 
 SF = "/root/testdata/sf0.001"
 
@@ -82,3 +84,39 @@ def test_a_written_file_moves_into_place_once(spark, tmp_path):
         assert store.move_if_absent("w/one", "_delta_log/1.json") and not store.move_if_absent("w/two", "_delta_log/1.json")
         assert store.read("_delta_log/1.json") == "one" and store.sizes("_delta_log") == {"0.json": 4, "1.json": 3}
         assert store.names("w") == []
+
+
+@pytest.mark.parametrize("strict", [False, True])
+def test_a_task_writes_many_small_files(spark, tmp_path, monkeypatch, strict):
+    uri, tasks, write = f"{tmp_path}/t", [], rewriter.write_files
+    tablelog.create(spark, uri, spark.range(60_000).selectExpr("(id * 7919) % 60013 AS v", "hex(id) AS s").coalesce(1))
+
+    def told(spark, uri, df, *a):
+        tasks.append(df.rdd.getNumPartitions())
+        return write(spark, uri, df, *a)
+
+    monkeypatch.setattr(rewriter, "write_files", told)
+    orderkeep.compact(uri, ["v"], target_file_size_bytes=10_000, repartition_by_sort_key=strict, spark=spark)
+    files = tablelog.open_table(spark, uri).files
+    assert tasks == [spark.sparkContext.defaultParallelism] and len(files) > 30
+    assert max(f.size for f in files) <= 15_000
+    orderkeep.validate(uri, ["v"], spark=spark)
+    assert reader.scan(spark, tablelog.open_table(spark, uri), ["v"]).count() == 60_000
+
+
+def test_the_driver_lists_files_by_folder(spark, tmp_path, monkeypatch):
+    uri = f"{tmp_path}/t"
+    store = tablelog.Store(spark, uri)
+    spark.range(6).selectExpr("id", "id % 2 AS p", "if(id = 5, NULL, 'a b/=c') AS q").coalesce(1).write.partitionBy("p", "q").parquet(f"{uri}/d")
+    for name in ("_SUCCESS.parquet", ".x.parquet", "y.txt"):
+        store.put_if_absent(f"d/{name}", "")
+
+    class Fs:  # listFiles() starts a process for each file on a local disk
+        listFiles = None
+        listStatus = staticmethod(store.fs.listStatus)
+
+    monkeypatch.setattr(store, "fs", Fs)
+    got = store.data_files("d", ["p", "q"])
+    assert sorted((f.partition for f in got), key=str) == [(("p", "0"), ("q", "a b/=c")), (("p", "1"), ("q", "a b/=c")), (("p", "1"), ("q", None))]
+    snapshot = tablelog.Snapshot(store.uri, 0, spark.range(1).schema, (), tuple(got))
+    assert sorted(r.id for r in reader.scan(spark, snapshot, ["id"]).collect()) == list(range(6)) and all(f.size > 100 for f in got)

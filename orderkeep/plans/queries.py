@@ -173,7 +173,7 @@ def partition_sort_position(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = reader.scan(spark, done, ["o_orderstatus", *keys])
     placed = reader.positions(rows, ["o_orderstatus", *keys])
     begins = placed.groupBy("o_orderstatus").agg(F.min("position").alias("begin"))
-    return placed.join(begins, "o_orderstatus").select("o_orderstatus", "o_orderkey", (F.col("position") - F.col("begin") + 1).alias("position"))
+    return placed.join(F.broadcast(begins), "o_orderstatus").select("o_orderstatus", "o_orderkey", (F.col("position") - F.col("begin") + 1).alias("position"))
 
 
 def _with_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -243,7 +243,7 @@ def size_split_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT 3::BIGINT AS partitions, 3::BIGINT AS files_in, (SELECT count(*) FROM orders)::BIGINT AS rows")
 def rewrite_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals of a run's metrics."""
-    made = _new_table(spark, _read(spark, sf_dir, "orders").coalesce(1), ("o_orderstatus",))
+    made = tablelog.create(spark, f"{own_folder(spark, 'table')}/t", _read(spark, sf_dir, "orders"), ("o_orderstatus",), one_file_each=True)
     got = rewriter.compact(spark, made.uri, SortConfig(("o_totalprice", "o_orderkey"), commit_per_partition=True))
     rows = reader.scan(spark, tablelog.open_table(spark, made.uri), ["o_orderkey"], places=False).agg(F.count("*").alias("rows"))
     return totals(frame(spark, got)).select("partitions", "files_in").crossJoin(F.broadcast(rows))  # one row each

@@ -120,3 +120,23 @@ def test_the_driver_lists_files_by_folder(spark, tmp_path, monkeypatch):
     assert sorted((f.partition for f in got), key=str) == [(("p", "0"), ("q", "a b/=c")), (("p", "1"), ("q", "a b/=c")), (("p", "1"), ("q", None))]
     snapshot = tablelog.Snapshot(store.uri, 0, spark.range(1).schema, (), tuple(got))
     assert sorted(r.id for r in reader.scan(spark, snapshot, ["id"]).collect()) == list(range(6)) and all(f.size > 100 for f in got)
+
+
+def test_a_file_for_each_partition_without_a_sort(spark, tmp_path, monkeypatch):
+    names = ["1", "10", None, "null", "a b/c", "o'x"]
+    df = spark.createDataFrame([(n, i % 2, k) for n in names for i, k in enumerate((3, 1, 2))], "`p.q` string, r int, value long").repartition(3)
+    made = tablelog.create(spark, f"{tmp_path}/t", df, ["p.q", "r"], one_file_each=True)
+    assert len(made.files) == 2 * len(names) == len({f.partition for f in made.files})
+    key = lambda rows: sorted(map(str, rows))
+    assert key(reader.scan(spark, made, places=False).collect()) == key(df.collect())
+    with pytest.raises(ValueError, match="one_file_each"):
+        tablelog.create(spark, f"{tmp_path}/u", df, one_file_each=True)
+    plans, write = [], tablelog.write_files
+
+    def told(spark, uri, df, partition_columns, *a):
+        plans.append((df._jdf.queryExecution().executedPlan().toString(), df.rdd.getNumPartitions(), partition_columns))
+        return write(spark, uri, df, partition_columns, *a)
+
+    monkeypatch.setattr(tablelog, "write_files", told)
+    assert queries.QUERIES["rewrite_metrics"](spark, SF).first() == (3, 3, 1500)
+    assert len(plans) == 3 and not [p for p, n, columns in plans if "Sort" in p or n != 1 or columns]  # the writer sorts by partition columns

@@ -83,7 +83,9 @@ def read_partition(spark: SparkSession, snapshot: Snapshot, partition: Sequence[
 def stats_by_file(rows: DataFrame, keys: Sequence[str], nulls_first: bool = True) -> DataFrame:
     """(file, n, mn, mx): of rows with FILE and ROW each file's number of rows and least and greatest key."""
     key = key_value(keys, nulls_first)
-    return rows.groupBy(F.col(FILE).alias("file")).agg(F.count("*").alias("n"), F.min(key).alias("mn"), F.max(key).alias("mx"))
+    # the empty list makes Spark aggregate by hashing: of structs alone it takes minima by a sort of all rows
+    n = (F.count("*") + F.size(F.collect_list(F.lit(None).cast("int")))).alias("n")
+    return rows.groupBy(F.col(FILE).alias("file")).agg(n, F.min(key).alias("mn"), F.max(key).alias("mx"))
 
 
 def read_ordered(spark: SparkSession, snapshot: Snapshot, keys: Sequence[str], nulls_first: bool = True) -> DataFrame:
@@ -114,10 +116,11 @@ def spark_plain(path: str) -> str:
 
 
 def positions(rows: DataFrame, keys: Sequence[str], nulls_first: bool = True) -> DataFrame:
-    """rows with `position`, from 1: a row's place in the physical layout, files taken in key order. No sort of rows."""
+    """rows with `position`, from 1: a row's place in the physical layout, files taken in key order. No sort of rows, no shuffle
+    of them: what is broadcast has a row for each file, as the driver's own list has."""
     from pyspark.sql import Window
 
     stats = stats_by_file(rows, keys, nulls_first)
     order = Window.orderBy("mn", "mx", "file")
     begins = stats.select(F.col("file").alias("__f"), (F.sum("n").over(order) - F.col("n")).alias("__begin"))  # a row for each file
-    return rows.join(begins, F.col(FILE) == F.col("__f")).withColumn("position", F.col("__begin") + F.col(ROW) + 1).drop("__f", "__begin")
+    return rows.join(F.broadcast(begins), F.col(FILE) == F.col("__f")).withColumn("position", F.col("__begin") + F.col(ROW) + 1).drop("__f", "__begin")

@@ -140,3 +140,18 @@ def test_a_file_for_each_partition_without_a_sort(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(tablelog, "write_files", told)
     assert queries.QUERIES["rewrite_metrics"](spark, SF).first() == (3, 3, 1500)
     assert len(plans) == 3 and not [p for p, n, columns in plans if "Sort" in p or n != 1 or columns]  # the writer sorts by partition columns
+
+
+def test_places_in_files_without_a_sort_of_rows(spark, tmp_path):
+    made = tablelog.create(spark, f"{tmp_path}/t", spark.range(3000).selectExpr("id % 3 AS a", "id AS b", "'x' AS c").repartition(3, "a"))
+    rows = reader.scan(spark, made, ["a", "b"])
+    plan = reader.positions(rows, ["a", "b"])._jdf.queryExecution().executedPlan().toString()
+    assert "ObjectHashAggregate" in plan and "BroadcastHashJoin" in plan and "SortAggregate" not in plan and "SortMergeJoin" not in plan
+    got = {(r.a, r.b): r.position for r in reader.positions(rows, ["a", "b"]).collect()}
+    assert sorted(got.values()) == list(range(1, 3001)) and max(got[0, b] for b in range(0, 3000, 3)) == 1000
+    assert {r.n for r in reader.stats_by_file(rows, ["a"]).collect()} <= {1000, 2000, 3000}
+
+
+def test_a_rewrite_without_a_size_has_tasks_of_bounded_input(spark):
+    files = [tablelog.DataFile(str(i), 100 << 20) for i in range(6)]
+    assert rewriter._tasks(spark, files, None) == (19, 600 << 20)

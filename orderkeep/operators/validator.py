@@ -13,11 +13,14 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from orderkeep.functions.keys import check_columns, key_value
-from orderkeep.sources.reader import FILE, ROW, few, file_ids, scan
+from orderkeep.functions.keys import check_columns, column, key_value
+from orderkeep.sources.reader import FILE, ROW, few, file_ids, scan, stats_by_file
 from orderkeep.sources.tablelog import Snapshot, open_table
 
+#: Types whose least and greatest values Spark updates in place.
+PLAIN = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
 #: Rows of a file that one window covers.
 CHUNK_ROWS = 1 << 16
 # How violations are told.
@@ -88,6 +91,22 @@ def snapshot_stats(spark: SparkSession, snapshot: Snapshot, keys: Sequence[str],
     return stats.withColumnRenamed("file", "__id").join(few(files.select("__id", F.col("path").alias("file"), "part"), len(snapshot.files)), "__id").drop("__id")
 
 
+def overlapping(spark: SparkSession, snapshot: Snapshot, keys: Sequence[str], nulls_first: bool = True) -> DataFrame:
+    """Stats of a table's files as snapshot_stats() has them, but by the first key alone that isn't constant in a partition,
+    and without what lies inside files (inversions 0). A bad boundary by that key is one by all keys; none proves nothing.
+
+    Rows are counted where they are read, with no shuffle or sort of them."""
+    key = next((k for k in keys if k not in snapshot.partition_columns), keys[0])
+    rows = scan(spark, snapshot, [key])
+    if isinstance(snapshot.schema[key].dataType, PLAIN):  # by Spark's faster aggregation; NULLs are then no bounds, wherever they stand
+        bounds = rows.groupBy(FILE).agg(F.count("*").alias("n"), F.min(column(key)).alias("mn"), F.max(column(key)).alias("mx"))
+    else:
+        bounds = stats_by_file(rows, [key], nulls_first).withColumnRenamed("file", FILE)
+    ids, files = file_ids(spark, snapshot)
+    named = bounds.withColumn("__id", ids).join(few(files.select("__id", F.col("path").alias("file"), "part"), len(snapshot.files)), "__id")
+    return named.withColumn("inversions", F.lit(0)).drop("__id", FILE)
+
+
 def validate_snapshot(spark: SparkSession, snapshot: Snapshot, keys: Sequence[str], nulls_first: bool = True) -> ValidationReport:
     if not keys or not snapshot.files:
         return ValidationReport()

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import os
 import re
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,12 +14,14 @@ from pyspark.sql import types as T
 
 from orderkeep.functions.keys import column, key_value
 from orderkeep.functions.predicates import column_predicate
-from orderkeep.sources.tablelog import Snapshot
+from orderkeep.sources.tablelog import DataFile, Snapshot
 
 #: A row's file (a path) and its number in the file.
 FILE, ROW = "__file", "__row"
 #: Up to so many files' partition values are broadcast; more are joined by a shuffle.
 MAX_SMALL = 100_000
+#: Up to so many partitions are read by a scan of each, their values as literals; of more, rows are joined with their files.
+MAX_PARTS = 32
 #: Up to so many files are read in key order by a scan of each; beyond, the rows are sorted.
 MAX_UNION = 300
 
@@ -58,12 +60,26 @@ def scan(spark: SparkSession, snapshot: Snapshot, columns: Sequence[str] | None
     if not snapshot.files:
         shape = T.StructType([*(snapshot.schema[c] for c in wanted), *([T.StructField(FILE, T.StringType()), T.StructField(ROW, T.LongType())] if places else [])])
         return spark.createDataFrame([], shape)
-    # a path below the table may look like a partition's: no value is taken from it
-    rows = spark.read.schema(stored).option("recursiveFileLookup", "true").option("__globPaths__", "false").parquet(*(snapshot.path(f) for f in snapshot.files))
     own = [column(c) for c in wanted if c not in snapshot.partition_columns]
     place = [F.col("_metadata.file_path").alias(FILE), F.col("_metadata.row_index").alias(ROW)]
+
+    def stored_rows(files: Iterable[DataFile]) -> DataFrame:
+        # a path below the table may look like a partition's: no value is taken from it
+        return spark.read.schema(stored).option("recursiveFileLookup", "true").option("__globPaths__", "false").parquet(*(snapshot.path(f) for f in files))
+
     if not partition:
-        return rows.select(*own, *(place if places else []))
+        return stored_rows(snapshot.files).select(*own, *(place if places else []))
+    parts: dict[tuple, list[DataFile]] = {}
+    for f in snapshot.files:
+        parts.setdefault(f.partition, []).append(f)
+    if len(parts) <= MAX_PARTS:
+
+        def one(values: dict[str, str | None], files: list[DataFile]) -> DataFrame:
+            told = [F.lit(values.get(c)).cast(snapshot.schema[c].dataType).alias(c) if c in partition else column(c) for c in wanted]
+            return stored_rows(files).select(*told, *(place if places else []))
+
+        return reduce(DataFrame.unionAll, [one(dict(values), files) for values, files in parts.items()])
+    rows = stored_rows(snapshot.files)
     ids, files = file_ids(spark, snapshot)
     names = sorted(snapshot.partition_columns)
     typed = [F.get("vs", F.lit(names.index(c))).cast(snapshot.schema[c].dataType).alias(c) for c in partition]

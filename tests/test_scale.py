@@ -3,12 +3,14 @@
 import json
 import os
 
+import duckdb
 import pytest
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 import orderkeep
 from orderkeep.operators import rewriter
-from orderkeep.plans import queries
+from orderkeep.plans import planner, queries
 from orderkeep.sources import reader, tablelog
 
 SF = "/root/testdata/sf0.001"
@@ -155,3 +157,70 @@ def test_places_in_files_without_a_sort_of_rows(spark, tmp_path):
 def test_a_rewrite_without_a_size_has_tasks_of_bounded_input(spark):
     files = [tablelog.DataFile(str(i), 100 << 20) for i in range(6)]
     assert rewriter._tasks(spark, files, None) == (19, 600 << 20)
+
+
+@pytest.mark.parametrize("kind, values", [("int", ["1", "10", None]), ("string", ["1", "null", None, "a b/c", "o'x"]), ("date", ["2024-02-29", None]), ("decimal(10,2)", ["1.50", "-3.00"])])
+def test_few_partitions_are_read_without_a_join(spark, tmp_path, monkeypatch, kind, values):
+    df = spark.createDataFrame([(v, i % 2, i) for v in values for i in range(3)], "p string, q int, v int").withColumn("p", F.col("p").cast(kind))
+    made = tablelog.create(spark, f"{tmp_path}/t", df.repartition(2), ["p", "q"])
+    rows = lambda df: sorted(map(str, df.collect()))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    got = reader.scan(spark, made)
+    assert rows(got.drop(reader.FILE, reader.ROW)) == rows(df) and "Join" not in plan(got)
+    monkeypatch.setattr(reader, "MAX_PARTS", 1)
+    joined = reader.scan(spark, made)
+    assert rows(joined) == rows(got) and joined.dtypes == got.dtypes and "Join" in plan(joined)
+
+
+@pytest.mark.parametrize("nulls_first", [True, False])
+def test_bounds_prove_disorder_as_all_rows_do(spark, tmp_path, monkeypatch, nulls_first):
+    """Partitions by how their two files lie to each other; the first key of a file is a list of values in its order."""
+    files = {
+        "apart": ([1, 2], [3, 4]), "touching": ([1, 3], [3, 4]), "over": ([1, 3], [2, 4]), "same": ([2, 2], [2, 2]), "held": ([1, 9], [3, 4]), "inside": ([2, 1], [3, 4]), "one": ([5, 6],), "one bad": ([6, 5],),
+        "null before": ([None, 1], [2, 3]), "null after": ([1, 2], [3, None]), "null both": ([None, 1], [None, 2]), "all null": ([None, None], [1, 2]), "nan": ([1.0, float("nan")], [2.0, 3.0]), "zero": ([-0.0, 0.0], [-0.0, 0.0]),
+    }
+    rows = [(p, k, None if x is None else float(x), i) for p, both in files.items() for k, file in enumerate(both) for i, x in enumerate(file)]
+    df = spark.createDataFrame(rows, "p string, k int, x double, i int").repartitionById(2, F.col("k")).sortWithinPartitions("p", "i")
+    df = df.select("p", "x", F.col("x").cast("string").alias("s"), F.struct("x").alias("t"), "i")
+    made = tablelog.create(spark, f"{tmp_path}/t", df, ["p"])
+    assert len(made.files) == sum(map(len, files.values()))
+    whole = tablelog.create(spark, f"{tmp_path}/w", df.drop("p"))
+    seen, stats = [], planner.snapshot_stats
+
+    def told(spark, snapshot, *a):
+        seen.append({dict(f.partition).get("p") for f in snapshot.files})
+        return stats(spark, snapshot, *a)
+
+    monkeypatch.setattr(planner, "snapshot_stats", told)
+    for keys in (["x"], ["s"], ["t"], ["p", "x"], ["x", "i"], ["p"]):
+        want = {r["part"]: r["rows"] for r in planner.failing(stats(spark, made, keys, nulls_first), "part").collect()}
+        got = planner.plan(spark, made, keys, nulls_first)
+        assert {json.dumps(g.partition): g.rows_in for g in got.groups} == want, keys
+        assert not {"over", "held"} & seen.pop() or keys == ["p"]
+    assert [g.rows_in for g in planner.plan(spark, whole, ["x"], nulls_first).groups] == [len(rows)]
+    assert not seen  # bounds alone prove it
+
+
+def test_a_rewrite_of_overlapping_files_looks_at_no_row_s_neighbour(spark, monkeypatch):
+    monkeypatch.setattr(planner, "snapshot_stats", None)
+    plans, write = [], rewriter.write_files
+
+    def told(spark, uri, df, *a):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return write(spark, uri, df, *a)
+
+    monkeypatch.setattr(rewriter, "write_files", told)
+    two = lambda spark, sf_dir, name: spark.read.parquet(f"{sf_dir}/{name}.parquet").repartition(2)
+    monkeypatch.setattr(queries, "_read", two)
+    assert queries.QUERIES["rewrite_preserves_rows"](spark, SF).first().n > 5000
+    assert len(plans) == 1 and "Join" not in plans[0]
+
+
+def test_halves_of_a_cent_are_rounded_as_by_the_sql(spark, tmp_path):
+    rows = [(1, q, p) for q, p in ((0.125, 0.375), (2.5, 1.005), (-0.125, 0.635), (None, 12345.67), (0.625, 1.125))]
+    df = spark.createDataFrame(rows, "l_orderkey long, l_quantity double, l_extendedprice double").withColumns({"l_shipdate": F.lit("2024-01-01").cast("timestamp_ntz"), "l_returnflag": F.lit("A")})
+    df.coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW lineitem AS SELECT * FROM read_parquet('{tmp_path}/lineitem.parquet/*.parquet')")
+    want = duck.execute(queries.SQL["rewrite_preserves_rows"]).fetchone()
+    assert tuple(queries.QUERIES["rewrite_preserves_rows"](spark, str(tmp_path)).first()) == want
